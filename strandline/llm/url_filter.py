@@ -108,7 +108,7 @@ https://crypto-win-free.net/en/777
 """
 LABELLED = [(u, 0) for u in ALLOWED.split()] + [(u, 1) for u in BLOCKED.split()]
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-DIMENSION = 1 << 14
+DIMENSION = 1 << 18
 
 
 def grams(host: str, path: str, sizes: tuple[int, ...] = (3, 4, 5), dimension: int = DIMENSION) -> list[int]:
@@ -144,18 +144,21 @@ class UrlModel:
 
 def train(labelled: list[tuple[str, int]] = LABELLED, ridge: float = 0.02, steps: int = 600, rate: float = 6.0) -> UrlModel:
     """Full-batch gradient steps on a small labelled table of (url, 1 to block)."""
-    x = np.zeros((len(labelled), DIMENSION))
-    for i, (url, _) in enumerate(labelled):
-        at = grams(*cut(url))
+    rows = [grams(*cut(url)) for url, _ in labelled]
+    used = np.array(sorted({g for r in rows for g in r}), dtype=np.int64)
+    x = np.zeros((len(rows), len(used)))
+    for i, at in enumerate(rows):
         if at:
-            x[i, at] = 1 / len(at) ** 0.5
+            x[i, np.searchsorted(used, at)] = 1 / len(at) ** 0.5
     y = np.array([b for _, b in labelled], dtype=float)
-    w, bias = np.zeros(DIMENSION), 0.0
+    w, bias = np.zeros(len(used)), 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ w + bias)))
         w -= rate * (x.T @ (p - y) / len(y) + ridge / len(y) * w)
         bias -= rate * float((p - y).mean())
-    return UrlModel(w, bias)
+    weights = np.zeros(DIMENSION, dtype=np.float32)
+    weights[used] = w
+    return UrlModel(weights, bias)
 
 
 def host(url: str = "url") -> Column:
