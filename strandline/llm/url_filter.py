@@ -105,19 +105,35 @@ https://adult-x-dating.net/en/2
 https://casino-spins.example.org/de/18#top
 https://cheap-replica-pills.example.com/en/450?page=2&ref=x
 https://crypto-win-free.net/en/777
+https://big-casino.example.net/en/45
+http://www.casino-online.example.com/fr/12
+https://win-big.example.net/en/301.html
+https://blog.win-money.example.com/en/9
+https://adult-chat.example.net/en/83
+https://m.pills-cheap.example.net/de/5
+http://ads-popup.example.org/en/61
+https://track-click.example.com/en/270/
 """
 LABELLED = [(u, 0) for u in ALLOWED.split()] + [(u, 1) for u in BLOCKED.split()]
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 DIMENSION = 1 << 18
 
 
-def grams(host: str, path: str, sizes: tuple[int, ...] = (3, 4, 5), dimension: int = DIMENSION) -> list[int]:
-    """Hashed n-grams of ^host$ and of the path, kept apart by a prefix; each once."""
-    out = set()
-    for mark, text in (("h", f"^{host}$"), ("p", path)):
-        for n in sizes:
-            out.update(zlib.crc32(f"{mark}{text[k : k + n]}".encode()) % dimension for k in range(len(text) - n + 1))
-    return sorted(out)
+PATH_SHARE = 0.3
+
+
+def grams(host: str, path: str, sizes: tuple[int, ...] = (3, 4, 5), dimension: int = DIMENSION) -> tuple[list[int], list[float]]:
+    """Hashed n-grams of ^host$ and of the path, kept apart by a prefix, each once; and their values.
+
+    The host's values have unit length together, the path's a length of PATH_SHARE.
+    """
+    at: list[int] = []
+    values: list[float] = []
+    for mark, text, scale in (("h", f"^{host}$" if host else "", 1.0), ("p", path, PATH_SHARE)):
+        own = {zlib.crc32(f"{mark}{text[k : k + n]}".encode()) % dimension for n in sizes for k in range(len(text) - n + 1)}
+        at += sorted(own)
+        values += [scale / len(own) ** 0.5] * len(own)
+    return at, values
 
 
 def cut(url: str | None) -> tuple[str, str]:
@@ -131,25 +147,24 @@ def cut(url: str | None) -> tuple[str, str]:
 
 @dataclass
 class UrlModel:
-    """Logistic weights over hashed n-grams; a URL's features are scaled to unit length."""
+    """Logistic weights over hashed n-grams."""
 
     weights: np.ndarray
     bias: float
 
     def probability(self, host: str, path: str) -> float:
-        at = grams(host, path, dimension=len(self.weights))
-        z = self.bias + (float(self.weights[at].sum()) / len(at) ** 0.5 if at else 0.0)
+        at, values = grams(host, path, dimension=len(self.weights))
+        z = self.bias + (float(self.weights[at] @ np.array(values)) if at else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def train(labelled: list[tuple[str, int]] = LABELLED, ridge: float = 0.02, steps: int = 600, rate: float = 6.0) -> UrlModel:
+def train(labelled: list[tuple[str, int]] = LABELLED, ridge: float = 0.004, steps: int = 1500, rate: float = 8.0) -> UrlModel:
     """Full-batch gradient steps on a small labelled table of (url, 1 to block)."""
     rows = [grams(*cut(url)) for url, _ in labelled]
-    used = np.array(sorted({g for r in rows for g in r}), dtype=np.int64)
+    used = np.array(sorted({g for at, _ in rows for g in at}), dtype=np.int64)
     x = np.zeros((len(rows), len(used)))
-    for i, at in enumerate(rows):
-        if at:
-            x[i, np.searchsorted(used, at)] = 1 / len(at) ** 0.5
+    for i, (at, values) in enumerate(rows):
+        np.add.at(x[i], np.searchsorted(used, np.array(at, dtype=np.int64)), values)
     y = np.array([b for _, b in labelled], dtype=float)
     w, bias = np.zeros(len(used)), 0.0
     for _ in range(steps):
@@ -182,7 +197,7 @@ def matched(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, model: UrlModel | None = None, threshold: float = 0.4) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row of pages.
 
     The longest rule that fits decides; without one, a score (probability of a URL to block) of at least threshold
