@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, ship
+from ._common import held_out, ship, stored
 
 SPLIT = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,8 +121,18 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
     return docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
 
 
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """Training rows without near copies: of the rows of one label whose three-word shingles have the same least hash, the one
+    with the smallest id. Otherwise each rare word of a much-copied document would look like evidence."""
+    w = F.split(F.translate("text", UPPER, LOWER), SPLIT)
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    sketched = rows.where("text is not null").select("doc_id", "y", w.alias("w")).select("doc_id", "y", F.array_min(grams).alias("sketch"))
+    first = stored(sketched.groupBy("sketch", "y").agg(F.min("doc_id").alias("__first")).select("__first"), "training")
+    return rows.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
+
+
 def train(docs: DataFrame, labels: DataFrame, prior: float = 0.1, z: float = 3.0, bound: float = 1.0, drift: float = 0.5, max_lexicon: int = 50_000) -> ToxicityModel:
-    """Fit on all labelled rows that are not held out.
+    """Fit on all labelled rows that are not held out; the lexicon on those without near copies.
 
     prior: prior mass as a share of all incidences. z: least z-score of a lexicon token. bound: standard
     deviations taken off its log-odds. max_lexicon bounds the model (the most significant tokens stay), so that
@@ -130,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float = 0.1, z: float = 3.0
     """
     rows = labelled(docs, labels, "toxic")
     toks = F.array_distinct(F.split(F.translate("text", UPPER, LOWER), SPLIT))
-    seen = rows.select("y", F.explode(toks).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("y").alias("y1"), F.count("*").alias("n"))
-    n1, n = _totals(rows)
+    apart = one_of_copies(rows)
+    seen = apart.select("y", F.explode(toks).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("y").alias("y1"), F.count("*").alias("n"))
+    n1, n = _totals(apart)
     model = ToxicityModel(drift=drift)
     if n1 == 0 or n == n1:
         return model
