@@ -120,15 +120,16 @@ def base_failed() -> Column:
 
 
 def bands(rows: DataFrame, fence: float = 3.0, least: float = 0.1, min_docs: int = 100) -> DataFrame:
-    """(lang, octave, lows, highs): the bands of each group with at least min_docs rows, and of all languages as '*'.
+    """(lang, octave, m, low, high): the band of each measure, by its place in MEASURES, for each group of min_docs rows or more.
 
-    A band reaches `fence` interquartile ranges beyond the quartiles and at least `least` of the median beyond it.
-    Measures are binned to 1/200, so the histograms are bounded and the bands do not depend on the rows' order.
+    Entropy grows with length, so its groups are a language and an octave of tokens; the others' octave is -1. '*'
+    stands for all languages. A band reaches `fence` interquartile ranges beyond the quartiles and at least `least`
+    of the median beyond it. Measures are binned to 1/200, so the histograms are bounded and the bands do not depend
+    on the rows' order.
     """
-    values = F.array(*[F.struct(F.lit(k).alias("m"), F.floor(F.col(x) * BINS).cast("long").alias("bin")) for k, x in enumerate(MEASURES)])
-    langs = F.array(F.col("lang"), F.lit("*"))
-    hist = rows.select("lang", "octave", F.explode(values).alias("v")).groupBy("lang", "octave", "v.m", "v.bin").agg(F.count("*").alias("n"))
-    hist = hist.select(F.explode(langs).alias("lang"), "octave", "m", "bin", "n").groupBy("lang", "octave", "m", "bin").agg(F.sum("n").alias("n"))
+    values = F.array(*[F.struct(F.lit(k).alias("m"), F.floor(F.col(x) * BINS).cast("long").alias("bin"), (F.col("octave") if x == "entropy" else F.lit(-1)).alias("o")) for k, x in enumerate(MEASURES)])
+    hist = rows.select("lang", F.explode(values).alias("v")).groupBy("lang", "v.o", "v.m", "v.bin").agg(F.count("*").alias("n"))
+    hist = hist.select(F.explode(F.array("lang", F.lit("*"))).alias("lang"), F.col("o").alias("octave"), "m", "bin", "n").groupBy("lang", "octave", "m", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy("lang", "octave", "m")
     cum = hist.withColumn("total", F.sum("n").over(group)).where(F.col("total") >= min_docs)
     cum = cum.withColumn("upto", F.sum("n").over(group.orderBy("bin")))
@@ -136,8 +137,7 @@ def bands(rows: DataFrame, fence: float = 3.0, least: float = 0.1, min_docs: int
     reach = fence * (F.col("q3") - F.col("q1") + 1)
     low = F.least(F.col("q1") - reach, F.col("q2") * (1 - least)) / BINS
     high = F.greatest(F.col("q3") + 1 + reach, F.col("q2") * (1 + least) + 1) / BINS
-    banded = quart.select("lang", "octave", F.struct("m", low.alias("low"), high.alias("high")).alias("b"))
-    return banded.groupBy("lang", "octave").agg(F.sort_array(F.collect_list("b")).alias("bands"))
+    return quart.select("lang", "octave", "m", low.alias("low"), high.alias("high"))
 
 
 def judged(docs: DataFrame, fence: float = 3.0, least: float = 0.1, min_docs: int = 100) -> DataFrame:
@@ -151,10 +151,21 @@ def judged(docs: DataFrame, fence: float = 3.0, least: float = 0.1, min_docs: in
     octave = F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")
     rows = rows.withColumn("octave", octave).withColumn("base_failed", base_failed())
     known = stored(bands(rows.where("not base_failed"), fence, least, min_docs), "bands")
-    own = known.where("lang <> '*'").withColumnRenamed("bands", "own")
-    general = known.where("lang = '*'").select("octave", F.col("bands").alias("general"))
-    got = rows.join(own, ["lang", "octave"], "left").join(general, "octave", "left").withColumn("band", F.coalesce("own", "general"))
-    off = [F.when((F.col(x) < F.col("band")[k]["low"]) | (F.col(x) > F.col("band")[k]["high"]), F.lit(x)) for k, x in enumerate(MEASURES)]
+    everyone = {(r["m"], r["octave"]): r for r in known.where("lang = '*'").collect()}  # a row for each octave and measure
+    band = F.struct("low", "high")
+    own = known.where("lang <> '*'")
+    general = own.where("octave = -1").groupBy("lang").agg(*[F.max(F.when(F.col("m") == k, band)).alias(f"b_{x}") for k, x in enumerate(MEASURES) if x != "entropy"])
+    entropy = own.where("octave >= 0").select("lang", "octave", band.alias("b_entropy"))
+    got = rows.join(general, "lang", "left").join(entropy, ["lang", "octave"], "left")
+    off = []
+    for k, x in enumerate(MEASURES):
+        low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for (m, octave), r in everyone.items():
+            if m == k:
+                here = F.col("octave") == octave if x == "entropy" else F.lit(True)
+                low, high = F.when(here, F.lit(r["low"])).otherwise(low), F.when(here, F.lit(r["high"])).otherwise(high)
+        low, high = F.coalesce(F.col(f"b_{x}")["low"], low), F.coalesce(F.col(f"b_{x}")["high"], high)
+        off.append(F.when((F.col(x) < low) | (F.col(x) > high), F.lit(x)))
     got = got.withColumn("outside", F.array_compact(F.array(*off)))
     kept = ~F.col("base_failed") & (F.size("outside") == 0)
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *MEASURES, "n_tokens", "outside")
