@@ -132,7 +132,7 @@ def grams(host: str, path: str, sizes: tuple[int, ...] = (3, 4, 5), dimension: i
     for mark, text, scale in (("h", f"^{host}$" if host else "", 1.0), ("p", path, PATH_SHARE)):
         own = {zlib.crc32(f"{mark}{text[k : k + n]}".encode()) % dimension for n in sizes for k in range(len(text) - n + 1)}
         at += sorted(own)
-        values += [scale / len(own) ** 0.5] * len(own)
+        values += [scale / max(1, len(own)) ** 0.5] * len(own)
     return at, values
 
 
