@@ -31,9 +31,11 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
         named = [(F.col("source").isNull() if s is None else F.col("source") == F.lit(s), float(w)) for s, w in weights.items()]
         share = F.coalesce(*[F.when(at, F.lit(w)) for at, w in named], F.lit(0.0))
     weighed = stored(sizes.withColumn("w", share), "sources")
-    total = weighed.agg(F.sum("n").alias("rows"), F.sum("w").alias("shares"))
-    rate = F.lit(epochs) * F.col("rows") * F.col("w") / F.col("shares") / F.col("n")
-    return weighed.crossJoin(F.broadcast(total)).select("source", "n", F.when(F.col("shares") > 0, rate).otherwise(0.0).alias("rate"))
+    rows, shares = weighed.agg(F.sum("n"), F.sum("w")).first()  # two numbers
+    if not shares:
+        return weighed.select("source", "n", F.lit(0.0).alias("rate"))
+    rate = F.lit(epochs) * F.lit(rows) * F.col("w") / F.lit(shares) / F.col("n")
+    return weighed.select("source", "n", rate.alias("rate"))
 
 
 def poisson_cdf(rate: str = "rate") -> Column:
