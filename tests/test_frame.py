@@ -107,7 +107,7 @@ def test_mode_and_quantile(spark):
 
 
 def test_across(spark):
-    df = generate.from_columns(spark, {"A": [1.0, 2, 3, 4, 5], "B": [10.0, 20, 30, 40, 50], "C": [5.0, 30, 30, 0, 25]})
+    df = generate.from_columns(spark, {"A": [1.0, 2.0, 3.0, 4.0, 5.0], "B": [10.0, 20.0, 30.0, 40.0, 50.0], "C": [5.0, 30.0, 30.0, 0.0, 25.0]})
     assert column(Frame(df, "index").agg_rows("approximate_median"), "approximate_median") == [5, 20, 30, 4, 25]
 
 
