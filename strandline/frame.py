@@ -300,6 +300,31 @@ class Frame:
             rows = rows.where(F.col("__pos") % step == 0)
         return self._new(rows.drop("__pos"))
 
+    def rolling_apply(self, f: Callable[[list], float], column: str, size: int, name: str = "applied", min_periods: int = 1, center: bool = False, closed: str = "right") -> Frame:
+        """A Python function of each window's valid values (a list), in Arrow batches; null with fewer than min_periods."""
+        spec = windows.Rolling(size, min_periods, center, closed)
+        first, last = spec.bounds()
+        gather = lambda w: {"__values": F.collect_list(column).over(spec.frame(w))}
+        if self.keys:
+            rows = self.df.withColumns(gather(self._window()))
+        else:
+            rows = over_blocks(with_position(self.df, self.order, "__pos"), "__pos", max(0, -first), max(0, last), gather).drop("__pos")
+        return self._applied(rows, f, name, max(min_periods, 1))
+
+    def expanding_apply(self, f: Callable[[list], float], column: str, name: str = "applied", min_periods: int = 1) -> Frame:
+        """As rolling_apply, over all rows so far of a key; for keys of up to some thousand rows."""
+        rows = self._windowed({"__values": lambda w: F.collect_list(column).over(windows.Expanding(min_periods).frame(w))}).df
+        return self._applied(rows, f, name, max(min_periods, 1))
+
+    def _applied(self, rows: DataFrame, f: Callable[[list], float], name: str, least: int) -> Frame:
+        ship(self.df.sparkSession)
+
+        @F.pandas_udf("double")
+        def run(s: pd.Series) -> pd.Series:
+            return pd.Series([float(f(list(v))) if len(v) >= least else None for v in s], dtype="float64")
+
+        return self._new(rows.withColumn(name, run("__values")).drop("__values"))
+
     def expanding(self, name: str, columns: list[str] | None = None, min_periods: int = 1, **options: Any) -> Frame:
         spec = windows.Expanding(min_periods)
         return self._windowed({c: lambda w, c=c: windows.agg(name, F.col(c), spec, w, **options) for c in columns or self.values})

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..calendars.busday import BusinessDays
 from ..calendars.market import get_calendar, open_at_time
 from ..frame import Frame
 from ..functions import logic as L
@@ -15,6 +16,7 @@ from ..functions import math as M
 from ..functions import offsets as O
 from ..functions import strings as S
 from ..functions import temporal as T
+from ..index import Index
 from ..operators import aggregate, combine, ewm, resample, select, windows
 from .sql import query
 
@@ -205,6 +207,29 @@ for _name, _sql in (("ffill", f"last_value(x ignore nulls) over ({_W} rows unbou
     register(_name, f"select event_type, ts, event_id, {_sql} as x from {_NULLED}")(_fill)
 
 
+@register("rolling_apply", f"select event_type, ts, event_id, case when count(x) over w >= 2 then round(max(x) over w - min(x) over w, 6) end as x from {_NULLED} window w as ({_W} rows between 5 preceding and current row)")
+def rolling_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _with_nulls(spark, sf_dir).rolling_apply(lambda v: max(v) - min(v), "x", 6, "spread", 2)
+    return out.df.select("event_type", "ts", "event_id", F.when(~F.isnan("spread"), r6("spread")).alias("x"))
+
+
+@register("index_lookups", "select (select count(*) from events where event_id < 400) as at, (select min(event_id) from events) as low, (select max(event_id) from events) as high, 300 as deleted")
+def index_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = Index(table(spark, sf_dir, "events").select("event_id"), "event_id")
+    gone = index.iloc(slice(300, 301)).labels.select(F.col("event_id").cast("int").alias("deleted"))
+    return select.searchsorted(index.df, "event_id", 400).select(F.col("position").alias("at"), F.lit(index.min()).alias("low"), F.lit(index.max()).alias("high")).join(gone)
+
+
+@register("business_days", "select o_orderkey, (select count(*) from range(0, 3000) t(k) where o_orderdate::date + k::int < date '1998-08-02' and isodow(o_orderdate::date + k::int) < 6) as n from orders where o_orderdate > timestamp '1995-01-01'")
+def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = BusinessDays().table(spark, dt.date(1995, 1, 1), dt.date(1998, 8, 2))
+    end = days.where("date = date'1998-08-01'").select(F.col("ordinal").alias("last"))
+    orders = table(spark, sf_dir, "orders").where("o_orderdate > timestamp_ntz'1995-01-01'")
+    at = days.select(F.col("date").alias("d"), (F.col("ordinal") - F.col("is_busday").cast("int")).alias("before"))
+    joined = orders.join(F.broadcast(at), F.to_date("o_orderdate") == F.col("d"), "left").join(F.broadcast(end))
+    return joined.select("o_orderkey", F.greatest(F.coalesce(F.col("last") - F.col("before"), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+
+
 @register("shift_diff_pct", f"select event_type, ts, event_id, lag(value, 2) over w as before, lead(value) over w as after, round(value - lag(value) over w, 6) as diff, round(case when lag(value) over w <> 0 then (value - lag(value) over w) / lag(value) over w end, 6) as pct from events window w as ({_W})")
 def shift_diff_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, v = Window.partitionBy("event_type").orderBy("ts", "event_id"), F.col("value")
