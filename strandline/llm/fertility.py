@@ -119,7 +119,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(rows: DataFrame, fence: float = 3.0, least: float = 0.1, min_docs: int = 100) -> DataFrame:
+def bands(rows: DataFrame, fence: float = 3.0, least: float = 0.12, min_docs: int = 100) -> DataFrame:
     """(lang, octave, m, low, high): the band of each measure, by its place in MEASURES, for each group of min_docs rows or more.
 
     Entropy grows with length, so its groups are a language and an octave of tokens; the others' octave is -1. '*'
@@ -140,7 +140,7 @@ def bands(rows: DataFrame, fence: float = 3.0, least: float = 0.1, min_docs: int
     return quart.select("lang", "octave", "m", low.alias("low"), high.alias("high"))
 
 
-def judged(docs: DataFrame, fence: float = 3.0, least: float = 0.1, min_docs: int = 100) -> DataFrame:
+def judged(docs: DataFrame, fence: float = 3.0, least: float = 0.12, min_docs: int = 100) -> DataFrame:
     """One row for each row of docs: doc_id, the base counts, base_failed, kept, the measures and `outside`.
 
     outside names the measures beyond their band: the band of the document's language and octave of tokens, or of
