@@ -222,3 +222,22 @@ def test_generators(spark):
     got = [r[0] for r in generate.date_range(spark, dt.datetime(2024, 1, 15), periods=3, offset="ME").collect()]
     assert got == [dt.datetime(2024, 1, 31), dt.datetime(2024, 2, 29), dt.datetime(2024, 3, 31)]
     assert generate.date_range(spark, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2), offset="6h").count() == 5
+
+
+def test_index(spark):
+    from strandline.index import Index
+
+    i = Index(generate.from_rows(spark, [(k, v) for k, v in enumerate([3, 1, 2, 2])], "ord long, k long"), "k", ["ord"])
+    assert (i.min(), i.max(), i.argmin(), i.argmax(), i.size()) == (1, 3, 1, 0, 4)
+    assert i.has_duplicates() and not i.contains(9) and i.get_loc(2) == [2, 3] and i.is_monotonic() == (False, False)
+    assert i.delete(0).to_list() == [1, 2, 2] and i.drop_duplicates().to_list() == [3, 1, 2] and i.at(-1) == 2
+    j = Index(i.labels, "k")
+    assert j.slice_locs(2, 2) == (1, 3) and [r[0] for r in j.insert(0, 7).collect()] == [7, 1, 2, 2, 3]
+    assert sorted(r[0] for r in j.union(Index(spark.range(2).toDF("x"), "x")).collect()) == [0, 1, 2, 3]
+
+
+def test_window_apply(spark):
+    f = Frame(generate.from_columns(spark, {"x": [1.0, 5.0, 2.0, 8.0]}), "index")
+    assert column(f.rolling_apply(max, "x", 2, "m"), "m") == [1, 5, 5, 8]
+    keyed = Frame(f.df.withColumn("k", F.lit(1)), "index", keys="k")
+    assert column(keyed.expanding_apply(sum, "x", "s"), "s") == [1, 6, 8, 16]
