@@ -114,11 +114,26 @@ def _karlin(scores: np.ndarray, p: np.ndarray, drift: float) -> float:
     return (low + high) / 2
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
-    """(doc_id, text, y) of the training rows: labelled 0 or 1 and not held out."""
+BROADCAST_ROWS = 1_000_000
+
+
+def small(rows: DataFrame, tag: str) -> DataFrame:
+    """Narrow rows written once; marked for a broadcast if they are at most BROADCAST_ROWS, else left to a shuffled join."""
+    rows = stored(rows, tag)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def known_labels(labels: DataFrame, target: str) -> DataFrame:
+    """(__id, y) of the ids that are labelled 0 or 1 and not held out; of repeated ones the larger label."""
     y = labels.select(F.col("doc_id").alias("__id"), F.col(target).cast("int").alias("y")).where("y in (0, 1) and __id is not null")
-    y = y.groupBy("__id").agg(F.max("y").alias("y")).where(~held_out("__id"))
-    return docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    return y.groupBy("__id").agg(F.max("y").alias("y")).where(~held_out("__id"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
+    """(doc_id, text, y) of the training rows, written once."""
+    y = small(known_labels(labels, target), "labels")
+    rows = docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    return stored(rows, "labelled")
 
 
 def one_of_copies(rows: DataFrame) -> DataFrame:
@@ -127,7 +142,7 @@ def one_of_copies(rows: DataFrame) -> DataFrame:
     w = F.split(F.translate("text", UPPER, LOWER), SPLIT)
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     sketched = rows.where("text is not null").select("doc_id", "y", w.alias("w")).select("doc_id", "y", F.array_min(grams).alias("sketch"))
-    first = stored(sketched.groupBy("sketch", "y").agg(F.min("doc_id").alias("__first")).select("__first"), "training")
+    first = small(sketched.groupBy("sketch", "y").agg(F.min("doc_id").alias("__first")).select("__first").distinct(), "training")
     return rows.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
 
 
@@ -142,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float = 0.1, z: float = 3.0
     toks = F.array_distinct(F.split(F.translate("text", UPPER, LOWER), SPLIT))
     apart = one_of_copies(rows)
     seen = apart.select("y", F.explode(toks).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("y").alias("y1"), F.count("*").alias("n"))
-    n1, n = _totals(apart)
+    seen = stored(seen, "incidence")
+    n1, n = (float(x or 0) for x in seen.agg(F.sum("y1"), F.sum("n")).first())
     model = ToxicityModel(drift=drift)
     if n1 == 0 or n == n1:
         return model
@@ -166,12 +182,6 @@ def train(docs: DataFrame, labels: DataFrame, prior: float = 0.1, z: float = 3.0
     return model
 
 
-def _totals(rows: DataFrame) -> tuple[float, float]:
-    toks = F.array_distinct(F.split(F.translate("text", UPPER, LOWER), SPLIT))
-    r = rows.select("y", F.size(F.array_remove(toks, "")).alias("n")).agg(F.sum(F.expr("if(y = 1, n, 0)")), F.sum("n")).first()
-    return float(r[0] or 0), float(r[1] or 0)
-
-
 def _calibrate(model: ToxicityModel, rows: DataFrame) -> None:
     """Logistic fit of the label on ln(1 + evidence) over all training rows, from counts in 0.05-wide bins."""
     held = rows.sparkSession.sparkContext.broadcast(model)
