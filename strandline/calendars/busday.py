@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.offsets import Offset
+
 DAY = dt.timedelta(days=1)
 ROLLS = ("following", "preceding", "modifiedfollowing", "modifiedpreceding", "nat", "raise")
 
@@ -93,3 +95,22 @@ class BusinessDays:
         step = F.col("__o") + n
         out = df.join(F.broadcast(here), F.to_date(column) == F.col("__d"), "left").join(F.broadcast(there), step == F.col("__t"), "left")
         return out.drop("__d", "__o", "__t")
+
+
+@dataclass(frozen=True)
+class CBDay(Offset):
+    """n business days of a calendar on; from a day off, the next (n > 0) or previous one counts as the first. Times of day are kept."""
+
+    calendar: BusinessDays = field(default_factory=BusinessDays)
+    delta: dt.timedelta = field(default_factory=dt.timedelta)
+
+    def on_offset(self, t: dt.datetime) -> bool:
+        return self.calendar.is_busday(t.date())
+
+    def add(self, t: dt.datetime) -> dt.datetime:
+        roll = "preceding" if self.n > 0 else "following"
+        return dt.datetime.combine(self.calendar.offset(t.date(), self.n, roll), t.time()) + self.delta
+
+
+def cbday(n: int = 1, weekmask: str = "1111100", holidays: tuple[dt.date, ...] = (), delta: dt.timedelta = dt.timedelta()) -> CBDay:
+    return CBDay(n, BusinessDays(weekmask, tuple(holidays)), delta)

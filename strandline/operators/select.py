@@ -156,6 +156,11 @@ def indices_nonzero(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     return with_position(df, order, "position").where(F.col(column).cast("double") != 0).select("position")
 
 
+def nth_smallest(df: DataFrame, column: str, n: int, order: list[str]) -> DataFrame:
+    """The row at place n (from 0) when sorted by the column, ties in order: what a partition around it would put there."""
+    return take(df, [column, *[c for c in order if c != column]], [n])
+
+
 def monotonic(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """One row: whether the column never falls, and never rises, in order."""
     from .position import over_blocks

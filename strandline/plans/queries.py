@@ -18,6 +18,7 @@ from ..functions import strings as S
 from ..functions import temporal as T
 from ..index import Index
 from ..operators import aggregate, combine, ewm, resample, select, windows
+from ..operators.position import with_position
 from .sql import query
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -444,6 +445,30 @@ def fill_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.fill_null(table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("value")), -1.0, ["value"])
 
 
+@register("take_positions", "select event_id, count(*) as n from (select event_id, row_number() over (order by ts, event_id) - 1 as k, count(*) over () as total from events) join (values (3), (0), (3), (-1)) p(i) on k = case when i < 0 then total + i else i end group by 1")
+def take_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = select.take(table(spark, sf_dir, "events").select("ts", "event_id"), ["ts", "event_id"], [3, 0, 3, -1])
+    return got.groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@register("diff_frames", "select c_custkey, 'c_acctbal' as \"column\" from customer where c_custkey % 4 = 0 and c_acctbal <> 0")
+def diff_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    b = a.withColumn("c_acctbal", F.when(F.col("c_custkey") % 4 == 0, F.lit(0.0)).otherwise(F.col("c_acctbal")))
+    return combine.diff_frames(a, b, ["c_custkey"]).select("c_custkey", "column")
+
+
+@register("groupby_cube", "select l_returnflag, l_linestatus, round(sum(l_quantity), 4) as l_quantity_sum from lineitem group by cube (l_returnflag, l_linestatus)")
+def groupby_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Frame(table(spark, sf_dir, "lineitem")).group_by("l_returnflag", "l_linestatus").cube("sum", columns=["l_quantity"]).withColumn("l_quantity_sum", F.round("l_quantity_sum", 4))
+
+
+@register("groupby_index_value", "select l_returnflag, min(k) as first_at from (select l_returnflag, l_quantity, row_number() over (order by " + LINE_SQL + ") - 1 as k from lineitem) where l_quantity = 7 group by 1")
+def groupby_index_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_position(table(spark, sf_dir, "lineitem").select(*LINE, "l_returnflag", "l_quantity"), LINE, "k")
+    return rows.groupBy("l_returnflag").agg(aggregate.down("index", F.col("l_quantity"), value=7.0, pos=F.col("k")).alias("first_at")).where("first_at is not null")
+
+
 @register("searchsorted", "select count(*) filter (value < 50) as l, count(*) filter (value <= 50) as r from events")
 def searchsorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
