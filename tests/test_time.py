@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from strandline.calendars import holidays as H
-from strandline.calendars.busday import BusinessDays
+from strandline.calendars.busday import BusinessDays, cbday
 from strandline.calendars.market import CALENDARS, get_calendar, merge_schedules, open_at_time
 from strandline.functions import offsets as O
 from strandline.functions import temporal as T
@@ -136,6 +136,16 @@ def test_business_days_as_numpy(mask):
         cal.roll(next(h for h in off if not cal.is_busday(h)))
 
 
+def test_custom_business_day_offset():
+    off = (D(2024, 7, 4), D(2024, 7, 5))
+    them = pd.offsets.CustomBusinessDay(1, holidays=[str(h) for h in off])
+    for k in range(1, 12):
+        t = dt.datetime(2024, 7, k, 9, 30)
+        for n in (1, 3, -1, -4):
+            assert pd.Timestamp(cbday(n, holidays=off).add(t)) == pd.Timestamp(t) + them * n
+    assert not cbday(holidays=off).on_offset(dt.datetime(2024, 7, 4))
+
+
 def test_business_day_columns(spark):
     cal = BusinessDays(holidays=(D(2024, 7, 4),))
     df = spark.createDataFrame([(D(2024, 7, k),) for k in range(1, 15)], "d date")
