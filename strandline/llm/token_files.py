@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import scratch, ship, vocabulary_path
 
 MAGIC = b"WMX1"
-MAX_WORDS = 400_000
+MAX_WORDS = 1_200_000
 END_ID = 1
 
 
@@ -45,7 +45,7 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             bit = ((cur >> b) & 1).astype(bool)
             planes.append(np.packbits(bit))
-            cur = cur.take(np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)]))
+            cur = np.concatenate([np.compress(~bit, cur), np.compress(bit, cur)])
         return cls(planes, len(values))
 
     def plane(self, level: int) -> np.ndarray:
@@ -59,10 +59,10 @@ class WaveletMatrix:
         out = np.zeros(self.n, dtype=dtype)  # in the order of the level reached from below
         for level in range(self.bits - 1, -1, -1):
             bit = self.plane(level)
+            zeros = self.n - int(np.count_nonzero(bit))
             up = np.empty(self.n, dtype=dtype)
-            ones = np.flatnonzero(bit)
-            out[self.n - len(ones) :] |= dtype(1 << (self.bits - 1 - level))
-            up[np.concatenate([np.flatnonzero(~bit), ones])] = out
+            np.place(up, ~bit, out[:zeros])
+            np.place(up, bit, out[zeros:] | dtype(1 << (self.bits - 1 - level)))
             out = up
         return out
 
@@ -182,13 +182,29 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: b if b in own else 256 + rest.index(b) for b in range(256)}
 
 
+_FULL_STOP = re.compile(f"[.,](?<=[{_LETTER}{_NUMBER}][.,])(?= |$)")
+_BLANKS = re.compile(f"[{_BLANK}]")
+
+
+class Words(dict):
+    """Ids of each word between blanks, as bytes; a new word's are those of its pre-tokens in turn."""
+
+    def __init__(self, piece):
+        self.piece = piece
+
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = b"".join(map(self.piece, _PIECES.findall(word)))
+        return got
+
+
 class Encoder:
-    """The tokenizers library's ids, kept for each pre-token.
+    """The tokenizers library's ids, kept for each word.
 
-    The normaliser folds white space and case and the pre-tokeniser cuts a text into pre-tokens that the library's
-    BPE model encodes one by one, so a text's ids are those of its pre-tokens in turn. Latin-1 texts are cut here and
-    each new pre-token goes to the model; any other text, and any that holds a special token's string, goes through
-    the whole library. A tokenizer that does not work so is refused.
+    The normaliser folds white space and case and the pre-tokeniser cuts a text into pre-tokens, none with a blank in
+    it, that the library's BPE model encodes one by one; so a text's ids are those of its words in turn. Latin-1
+    texts are cut here, a full stop or comma behind a word apart from it, and the pre-tokens of each new word go to
+    the model; any other text, and any that holds a special token's string, goes through the whole library. A
+    tokenizer that does not work so is refused.
     """
 
     def __init__(self, path: str):
@@ -201,44 +217,38 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.bytes = _byte_alphabet()
-        self.known: dict[str, bytes] = {}
-        for probe in ("One  two,\nthree...it's 12\x85\xb2 \x1c{x}", "caf\xe9 \xc9T\xc9's \xa0\xfcber\xb5m\xad", "\x00a'll_b"):
-            if self._pieces(probe) is None or b"".join(map(self._piece, self._pieces(probe) or [])) != self._whole([probe])[0]:
+        self.known = Words(self._piece)
+        for probe in ("One  two,\nthree...it's 12\x85\xb2 \x1c{x}. 3.", "caf\xe9. \xc9T\xc9's \xa0\xfcber\xb5m\xad,", "\x00a'll_b"):
+            if self._latin(probe) != self._whole(probe):
                 raise ValueError("this tokenizer's pre-tokens are not as expected")
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.bytes)
         return np.array([t.id for t in self.model.tokenize(mapped)], dtype=self.dtype).tobytes()
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """The pre-tokens of a Latin-1 text; None for others."""
+    def _latin(self, text: str) -> bytes:
+        blank = text.lower().replace("\n", " ")
+        if not blank.isprintable():
+            blank = _BLANKS.sub(" ", blank)
+        return b"".join(map(self.known.__getitem__, _FULL_STOP.sub(r" \g<0>", blank).split(" ")))
+
+    def _ids(self, text: str) -> bytes:
         if not text.isascii():
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return None
-        if any(x in text for x in self.special):
-            return None
-        return _PIECES.findall(text.lower())
+                return self._whole(text)
+        return self._whole(text) if any(x in text for x in self.special) else self._latin(text)
 
     def encode(self, texts: list[str | None], end: int = END_ID) -> list[np.ndarray]:
         """Ids of each text and the end id; a null text is empty."""
-        last = np.array([end], dtype=self.dtype).tobytes()
-        cut = [self._pieces(t) if t else [] for t in texts]
         if len(self.known) > MAX_WORDS:
-            self.known = {}
-        known = self.known
-        new: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                new.update(pieces)
-        for piece in new.difference(known):
-            known[piece] = self._piece(piece)
-        get = known.__getitem__
-        return [np.frombuffer((b"".join(map(get, p)) if p is not None else self._whole([t or ""])[0]) + last, dtype=self.dtype) for p, t in zip(cut, texts, strict=True)]
+            self.known.clear()
+        last = np.array([end], dtype=self.dtype).tobytes()
+        return [np.frombuffer((self._ids(t) if t else b"") + last, dtype=self.dtype) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}
