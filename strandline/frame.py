@@ -425,7 +425,7 @@ class Grouped:
         return aggregate.agg_columns(self.frame.df, list(names), columns or self._values(), self.by, self.frame.order, **options).orderBy(*self.by)
 
     def ohlc(self, column: str) -> DataFrame:
-        at = F.struct(*self.frame.order)
+        at = aggregate.order_key(self.frame.df, self.frame.order)
         c = F.col(column)
         return self.frame.df.groupBy(*self.by).agg(F.min_by(c, at).alias("open"), F.max(c).alias("high"), F.min(c).alias("low"), F.max_by(c, at).alias("close"), F.sum(c).alias("volume"))
 

@@ -10,6 +10,33 @@ from pyspark.sql import functions as F
 from .windows import quantile_of
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _as_long(df: DataFrame, name: str) -> Column | None:
+    kind = df.schema[name].dataType.simpleString()
+    if kind in _WHOLE:
+        return F.col(name).cast("bigint")
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    return F.datediff(F.col(name), F.lit("1970-01-01")).cast("bigint") if kind == "date" else None
+
+
+def order_key(df: DataFrame, order: list[str]) -> Column:
+    """One value that sorts as the order columns do, for first and last.
+
+    Two columns of whole numbers or times become one decimal, which a hash aggregate can hold; a struct would make it
+    sort its input by key. Null parts come first.
+    """
+    if len(order) == 1:
+        return F.col(order[0])
+    parts = [_as_long(df, c) for c in order]
+    if len(order) != 2 or any(p is None for p in parts):
+        return F.struct(*order)
+    high, low = (F.coalesce(p, F.lit(-(2**63))).cast("decimal(19,0)") for p in parts)
+    return high * F.lit("1" + "0" * 19).cast("decimal(20,0)") + low
+
+
 def _variance(c: Column, ddof: int) -> Column:
     if ddof == 1:
         return F.var_samp(c)
@@ -106,7 +133,7 @@ def across(name: str, cols: list[Column], q: float = 0.5, interpolation: str = "
 
 def agg_columns(df: DataFrame, names: list[str], values: list[str], by: list[str] | None = None, order: list[str] | None = None, **options) -> DataFrame:
     """Every aggregate of every value column, for the frame or each key; `value_name` columns where several are asked for."""
-    at = F.struct(*order) if order else None
+    at = order_key(df, order) if order else None
     cols = [down(n, F.col(v), order=at, **options).alias(v if len(names) == 1 else f"{v}_{n}") for v in values for n in names]
     return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.offsets import BDay, MonthAnchor, Offset, Tick, Week, parse
 from ..functions.temporal import from_micros, local, micros
+from .aggregate import order_key
 
 DAY = 86_400_000_000
 EPOCH = dt.datetime(1970, 1, 1)
@@ -129,7 +130,7 @@ def ohlcv(df: DataFrame, time: str, o: Resample, keys: list[str] | None = None,
     columns: from open, high, low, close, volume, contract to df's columns (o, h, l, c, v, s by default).
     """
     names = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v"} | (columns or {})
-    at = F.struct(time, *(order or []))
+    at = order_key(df, list(dict.fromkeys([time, *(order or [])])))
     cols = [
         F.min_by(names["open"], at).cast("double").alias("open"),
         F.max(names["high"]).cast("double").alias("high"),
