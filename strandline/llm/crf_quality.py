@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, ship
-from .toxicity import labelled, logistic_1d
+from ._common import held_out, ship, stored
+from .toxicity import known_labels, logistic_1d
 
 _ALPHA = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -202,13 +202,23 @@ def _fit(seqs: list[np.ndarray], labels: list[np.ndarray], ridge: float) -> tupl
 def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, max_lines: int = 300, max_bytes: int = 65_536, ridge: float = 0.02) -> QualityModel:
     """Fit on a bounded sample of labelled rows that are not held out.
 
-    sample: at most so many documents of each label, those with the smallest hash of their id, of at most
-    max_lines lines and max_bytes bytes; so what reaches the driver is bounded. Without rows of both labels the
-    model rates every document alike.
+    sample: at most so many ids of each label, those with the smallest hash; of their documents those of at most
+    max_lines lines and max_bytes bytes, and no more than 3 x sample rows should ids repeat. So what reaches the
+    driver is bounded. Without rows of both labels the model rates every document alike.
     """
-    rows = labelled(docs, labels, "quality").where(F.octet_length("text") <= max_bytes).where(F.size(F.split("text", "\n")) <= max_lines)
-    pick = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text").limit(sample) for y in (0, 1)]
-    feats = pick[0].unionAll(pick[1]).select("text", "y").mapInArrow(_features, "y int, x binary, size binary").collect()
+    y = stored(known_labels(labels, "quality"), "labels")
+    counts = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
+    mark = F.xxhash64("__id", F.lit(7))
+    chosen = []
+    for k, n in counts.items():  # first a share by hash, so that the sort of the ids has few to keep
+        share = min(1.0, 1.5 * sample / n + 1000 / n)
+        chosen.append(y.where((F.col("y") == k) & (F.pmod(mark, F.lit(1 << 20)) < int(share * (1 << 20)))).orderBy(mark, "__id").limit(sample))
+    if len(chosen) < 2:
+        return QualityModel()
+    ids = F.broadcast(stored(chosen[0].unionAll(chosen[1]), "sample"))  # at most 2 x sample rows
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(ids, F.col("doc_id") == F.col("__id"))
+    rows = rows.where(F.size(F.split("text", "\n")) <= max_lines)
+    feats = rows.select("text", "y").mapInArrow(_features, "y int, x binary, size binary").limit(3 * sample).collect()
     seqs = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, WIDTH) for r in feats]
     bad = np.array([1 - r["y"] for r in feats])
     model = QualityModel()
