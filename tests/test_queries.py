@@ -13,7 +13,7 @@ def con(sf):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, sf, con):
     columns, got = oracle.from_spark(QUERIES[name](spark, sf))
-    assert got
+    assert got or name in ORACLE_SQL  # a small table may leave nothing
     if name in ORACLE_SQL:
         assert (columns, got) == oracle.from_sql(con, ORACLE_SQL[name])
 
