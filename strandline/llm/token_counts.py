@@ -7,8 +7,8 @@ token and on the last tokens at its places. Those are the states of a determinis
 on a character carries the change in the number of tokens. States are compiled as texts first reach them.
 
 A text is cut into chunks where a word mark follows another character. No token spans such a cut, so whatever
-state enters a chunk, its first transition leads to the same state: a chunk's map from states to (state, count)
-is constant but for nothing, and the maps of a text compose by adding counts, in a prefix scan over a batch.
+state enters a chunk, its first transition leads to the same state. A chunk's map from entering states to (leaving
+state, count) is therefore constant, and the maps of a text compose by adding counts, in a prefix scan over a batch.
 """
 
 from __future__ import annotations
