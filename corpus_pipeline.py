@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import crf_quality, decontaminate, mixing, simhash, token_files
+from strandline.llm import crf_quality, decontaminate, mixing, near_copies, token_files
 from strandline.llm._common import scratch, table
 
 
@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    return simhash.one_of_each(docs)
+    """Documents are near copies at a five-word Jaccard similarity of 0.8; the one with the smallest id of each group stays."""
+    return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("mixing sources to target weights", mixture),
     ("token-ID / binary output", tokens),

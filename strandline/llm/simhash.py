@@ -177,13 +177,18 @@ def one_of_each(docs: DataFrame, shingle: int = 3, dense: int = 2000) -> DataFra
     rows of that id and fingerprint the one with the smallest text (nulls first). A column __fp is dropped.
     """
     marked = stored(with_fingerprint(docs, shingle), "marked")
+    return stay(marked, classes(marked.select(F.col("__fp").alias("fp")), dense))
+
+
+def stay(marked: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of marked that stay, without __fp, where rooted has the class (fp, root) of each __fp; see one_of_each."""
     ids = marked.select("doc_id", F.col("__fp").alias("fp"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    best = ids.join(classes(ids, dense), "fp").groupBy("root").agg(F.min(order).alias("w"))
-    stay = stored(best.select(F.col("w.doc_id").alias("__id"), F.col("w.fp").alias("__f")), "stay")
+    best = ids.join(rooted, "fp").groupBy("root").agg(F.min(order).alias("w"))
+    chosen = stored(best.select(F.col("w.doc_id").alias("__id"), F.col("w.fp").alias("__f")), "stay")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f"))
-    kept = marked.join(stay, same, "left_semi")
-    if ids.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__f")), "left_semi").count() > stay.count():
+    kept = marked.join(chosen, same, "left_semi")
+    if ids.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__f")), "left_semi").count() > chosen.count():
         first = Window.partitionBy("doc_id", "__fp").orderBy(F.asc_nulls_first("text"))
         kept = kept.withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
     return kept.drop("__fp")
