@@ -622,6 +622,12 @@ def string_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.count_substring(t, "an").cast("long").alias("n"), S.find_substring(t, "tion").cast("long").alias("at"), S.match_like(t, "%the%").alias("the"), S.replace_substring(S.slice_codeunits(t, 0, 40), "e", "3").alias("r"), S.slice_codeunits(t, 0, 5).alias("s"))
 
 
+@register("string_replace", "select doc_id, length(replace(text, 'e', '3')) as n, md5(replace(text, 'e', '3')) as r from documents")
+def string_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = S.replace_substring(F.col("text"), "e", "3")
+    return table(spark, sf_dir, "documents").select("doc_id", S.utf8_length(r).cast("long").alias("n"), F.md5(r.cast("binary")).alias("r"))
+
+
 @register("string_split", "select p_partkey, array_to_string(string_split(p_type, ' '), '/') as j, len(string_split(p_type, ' ')) as n, string_split(p_type, ' ')[1] as f from part")
 def string_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = S.split_pattern(F.col("p_type"), " ")
