@@ -371,6 +371,12 @@ def sort_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long"))
 
 
+@register("sort_values_all", "select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc nulls last, o_orderkey) as place from orders")
+def sort_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = with_position(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")], "place")
+    return placed.withColumn("place", F.col("place") + 1)
+
+
 @register("n_largest", "select c_custkey, c_acctbal from customer order by c_acctbal desc, c_custkey limit 25")
 def n_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.n_largest(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 25, ["c_custkey"])

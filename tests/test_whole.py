@@ -10,3 +10,10 @@ def test_replace_reaches_the_end(spark, sf):
     want = {r["doc_id"]: hashlib.md5(r["text"].replace("e", "3").encode()).hexdigest() for r in docs.where("text is not null").collect()}
     got = QUERIES["string_replace"](spark, sf).where("r is not null").collect()
     assert {r["doc_id"]: r["r"] for r in got} == want
+
+
+def test_sort_places_every_row(spark, sf):
+    rows = table(spark, sf, "orders").collect()
+    order = sorted(rows, key=lambda r: (-r["o_totalprice"], r["o_orderkey"]))
+    got = QUERIES["sort_values_all"](spark, sf).orderBy("place").collect()
+    assert [(r["place"], r["o_orderkey"]) for r in got] == [(k, r["o_orderkey"]) for k, r in enumerate(order, 1)] and len(got) > 500
