@@ -523,6 +523,13 @@ def reindex_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine.reindex(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), spark.range(500), "o_orderkey", -1.0)
 
 
+@register("reindex_fill_all", "with k as (select o_orderkey from orders union all select (select max(o_orderkey) from orders) + i + 1 from range(0, 500) t(i)) select o_orderkey, coalesce(o_totalprice, -1.0) as o_totalprice from k left join orders using (o_orderkey)")
+def reindex_fill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    beyond = spark.range(500).crossJoin(F.broadcast(df.agg(F.max("o_orderkey").alias("top")))).select((F.col("top") + F.col("id") + 1).alias("o_orderkey"))
+    return combine.reindex(df, df.select("o_orderkey").unionAll(beyond), "o_orderkey", -1.0)
+
+
 @register("update_labels", "select c_custkey, case when c_custkey % 5 = 0 then 0.0 else c_acctbal end as c_acctbal from customer")
 def update_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")

@@ -17,3 +17,9 @@ def test_sort_places_every_row(spark, sf):
     order = sorted(rows, key=lambda r: (-r["o_totalprice"], r["o_orderkey"]))
     got = QUERIES["sort_values_all"](spark, sf).orderBy("place").collect()
     assert [(r["place"], r["o_orderkey"]) for r in got] == [(k, r["o_orderkey"]) for k, r in enumerate(order, 1)] and len(got) > 500
+
+
+def test_reindex_keeps_every_order_and_fills(spark, sf):
+    rows = {r["o_orderkey"]: r["o_totalprice"] for r in table(spark, sf, "orders").collect()}
+    got = {r["o_orderkey"]: r["o_totalprice"] for r in QUERIES["reindex_fill_all"](spark, sf).collect()}
+    assert got == rows | {max(rows) + k: -1.0 for k in range(1, 501)} and len(rows) > 500
