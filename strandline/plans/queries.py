@@ -115,6 +115,13 @@ def fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.fill_gaps(bars, "bucket", o, ["event_type"])
 
 
+@register("resample_fill_gaps_all", "with b as (select event_type, date_trunc('minute', ts) as bucket, count(*) as n from events group by 1, 2), g as (select event_type, unnest(range(min(bucket), max(bucket) + interval 1 minute, interval 1 minute)) as bucket from b group by 1) select g.event_type, g.bucket, b.n from g left join b using (event_type, bucket)")
+def fill_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = resample.Resample("1min", origin="epoch")
+    bars = resample.resample(table(spark, sf_dir, "events"), "ts", o, ["event_type"], "bucket").agg(F.count("*").alias("n"))
+    return resample.fill_gaps(bars, "bucket", o, ["event_type"])
+
+
 @register("resample_tz_day", "select make_timestamp(epoch_us(timezone('America/New_York', date_trunc('day', timezone('America/New_York', timezone('UTC', ts)))))) as bucket, count(*) as n from events group by 1")
 def resample_tz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "events"), "ts", resample.Resample("D", origin="epoch", tz="America/New_York"), name="bucket").agg(F.count("*").alias("n"))

@@ -23,3 +23,8 @@ def test_reindex_keeps_every_order_and_fills(spark, sf):
     rows = {r["o_orderkey"]: r["o_totalprice"] for r in table(spark, sf, "orders").collect()}
     got = {r["o_orderkey"]: r["o_totalprice"] for r in QUERIES["reindex_fill_all"](spark, sf).collect()}
     assert got == rows | {max(rows) + k: -1.0 for k in range(1, 501)} and len(rows) > 500
+
+
+def test_gaps_count_every_event(spark, sf):
+    got = QUERIES["resample_fill_gaps_all"](spark, sf).collect()
+    assert sum(r["n"] or 0 for r in got) == table(spark, sf, "events").count() and any(r["n"] is None for r in got)
