@@ -199,11 +199,13 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([s[new], e[last]], axis=1)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The benchmark in blocks of bounded text, read one partition at a time."""
+def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool = False) -> list[list[tuple[str, str | None]]]:
+    """The benchmark in blocks of bounded text, read one partition at a time; items without id only if unnamed, as ""."""
     blocks: list[list[tuple[str, str | None]]] = [[]]
     size = 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("i is not null").toLocalIterator():
+    name = F.col("item_id").cast("string")
+    items = benchmark.select((F.coalesce(name, F.lit("")) if unnamed else name).alias("i"), "text").where("i is not null")
+    for r in items.toLocalIterator():
         n = len((r["text"] or "").encode())
         if blocks[-1] and size + n > block_bytes:
             blocks.append([])
@@ -290,11 +292,12 @@ def cut_out(text: str, spans: np.ndarray) -> str:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """docs with every hit span cut out of its text (and n_chars, where it is a column, counted anew).
 
-    The cut repeats until no phrase is left, as joining what surrounds a span may form one. A document left
+    Items without id are searched too. The cut repeats until no phrase is left, as joining what surrounds a span may form
+    one. A document left
     without any word goes; one that had none before stays. All other rows and columns stay as they are.
     """
     sc = ship(docs.sparkSession).sparkContext
-    blocks = [sc.broadcast(x) for x in _blocks(benchmark, block_bytes)]
+    blocks = [sc.broadcast(x) for x in _blocks(benchmark, block_bytes, unnamed=True)]
     schema = docs.schema
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
