@@ -17,10 +17,12 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from ._common import scratch, ship, vocabulary_path
 
 MAGIC = b"WMX1"
 MAX_WORDS = 1_200_000
+RUN_BYTES = 8 << 20
 END_ID = 1
 
 
@@ -59,10 +62,9 @@ class WaveletMatrix:
         out = np.zeros(self.n, dtype=dtype)  # in the order of the level reached from below
         for level in range(self.bits - 1, -1, -1):
             bit = self.plane(level)
-            zeros = self.n - int(np.count_nonzero(bit))
+            one, zero = np.flatnonzero(bit), np.flatnonzero(~bit)
             up = np.empty(self.n, dtype=dtype)
-            np.place(up, ~bit, out[:zeros])
-            np.place(up, bit, out[zeros:] | dtype(1 << (self.bits - 1 - level)))
+            up[zero], up[one] = out[: len(zero)], out[len(zero) :] | dtype(1 << (self.bits - 1 - level))
             out = up
         return out
 
@@ -182,8 +184,9 @@ def _byte_alphabet() -> dict[int, int]:
     return {b: b if b in own else 256 + rest.index(b) for b in range(256)}
 
 
-_FULL_STOP = re.compile(f"[.,](?<=[{_LETTER}{_NUMBER}][.,])(?= |$)")
+_FULL_STOP = f"([{_LETTER}{_NUMBER}])([.,]) "
 _BLANKS = re.compile(f"[{_BLANK}]")
+_END = "\u2400"  # stands behind each text for its end id; no Latin-1 text holds it
 
 
 class Words(dict):
@@ -193,7 +196,7 @@ class Words(dict):
         self.piece = piece
 
     def __missing__(self, word: str) -> bytes:
-        got = self[word] = b"".join(map(self.piece, _PIECES.findall(word)))
+        got = self[word] = self.piece(word) if word.isalpha() else b"".join(map(self.piece, _PIECES.findall(word)))
         return got
 
 
@@ -202,9 +205,9 @@ class Encoder:
 
     The normaliser folds white space and case and the pre-tokeniser cuts a text into pre-tokens, none with a blank in
     it, that the library's BPE model encodes one by one; so a text's ids are those of its words in turn. Latin-1
-    texts are cut here, a full stop or comma behind a word apart from it, and the pre-tokens of each new word go to
-    the model; any other text, and any that holds a special token's string, goes through the whole library. A
-    tokenizer that does not work so is refused.
+    texts are cut here, a full stop or comma behind a word apart from it: the words of many texts are numbered at once,
+    the pre-tokens of each new word go to the model, and the words' ids are gathered by number. Any other text, and any
+    that holds a special token's string, goes through the whole library. A tokenizer that does not work so is refused.
     """
 
     def __init__(self, path: str):
@@ -215,40 +218,51 @@ class Encoder:
         self.model = self.tok.model
         self.bits = max(1, (self.tok.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
+        self.code = "H" if self.bits <= 16 else "I"
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.bytes = _byte_alphabet()
         self.known = Words(self._piece)
-        for probe in ("One  two,\nthree...it's 12\x85\xb2 \x1c{x}. 3.", "caf\xe9. \xc9T\xc9's \xa0\xfcber\xb5m\xad,", "\x00a'll_b"):
-            if self._latin(probe) != self._whole(probe):
+        probes = ["One  two,\nthree...it's 12\x85\xb2 \x1c{x}. 3.", "caf\xe9. \xc9T\xc9's \xa0\xfcber\xb5m\xad,", "\x00a'll_b"]
+        for probe, ids in zip(probes, self.encode(probes), strict=True):
+            if ids[:-1].tolist() != self.tok.encode(probe, add_special_tokens=False).ids:
                 raise ValueError("this tokenizer's pre-tokens are not as expected")
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-
     def _piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.bytes)
-        return np.array([t.id for t in self.model.tokenize(mapped)], dtype=self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _latin(self, text: str) -> bytes:
+    def _blanked(self, text: str) -> str:
+        """A Latin-1 text in lower case, its white space as blanks, and the end mark."""
         blank = text.lower().replace("\n", " ")
-        if not blank.isprintable():
-            blank = _BLANKS.sub(" ", blank)
-        return b"".join(map(self.known.__getitem__, _FULL_STOP.sub(r" \g<0>", blank).split(" ")))
+        return (blank if blank.isprintable() else _BLANKS.sub(" ", blank)) + " " + _END
 
-    def _ids(self, text: str) -> bytes:
+    def _latin(self, texts: list[str], end: int) -> list[np.ndarray]:
+        cut = pc.split_pattern(pc.replace_substring_regex(pa.array([self._blanked(t) for t in texts], pa.large_string()), _FULL_STOP, r"\1 \2 "), " ")
+        words = pc.dictionary_encode(cut.flatten())
+        if len(self.known) > MAX_WORDS:
+            self.known.clear()
+        self.known[_END] = array(self.code, [end]).tobytes()
+        ids = pa.array(list(map(self.known.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist())), pa.large_binary()).take(words.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        bounds = at[cut.offsets.to_numpy() - cut.offsets[0].as_py()] // self.dtype.itemsize
+        flat = np.frombuffer(data, dtype=self.dtype)
+        return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _is_latin(self, text: str) -> bool:
         if not text.isascii():
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return self._whole(text)
-        return self._whole(text) if any(x in text for x in self.special) else self._latin(text)
+                return False
+        return not any(x in text for x in self.special)
 
     def encode(self, texts: list[str | None], end: int = END_ID) -> list[np.ndarray]:
         """Ids of each text and the end id; a null text is empty."""
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        last = np.array([end], dtype=self.dtype).tobytes()
-        return [np.frombuffer((self._ids(t) if t else b"") + last, dtype=self.dtype) for t in texts]
+        texts = [t or "" for t in texts]
+        latin = [self._is_latin(t) for t in texts]
+        cut = iter(self._latin([t for t, x in zip(texts, latin, strict=True) if x], end) if any(latin) else [])
+        return [next(cut) if x else np.array([*self.tok.encode(t, add_special_tokens=False).ids, end], dtype=self.dtype) for t, x in zip(texts, latin, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -261,10 +275,20 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _runs(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about RUN_BYTES of text, so that what is numbered at once is bounded."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)
+    run = (np.cumsum(sizes) - sizes) // RUN_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 FILES = "part int, shard int, docs long, tokens long, file binary"
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", shard_tokens: int = 1 << 18, end: int = END_ID, bytes_per_part: int = 24 << 20) -> None:
+def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", shard_tokens: int = 1 << 18, end: int = END_ID) -> None:
     """Write the ids of all texts of docs, each with the end id behind it, in ascending doc_id order.
 
     Rows with a null doc_id come first; rows of one id are ordered by their text, nulls first, so repeated rows
@@ -272,8 +296,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
     larger than shard_tokens. Other columns are ignored. An empty table gives no file.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(total // bytes_per_part) + 1)
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())  # as many as the scan has
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
     rows = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()).sortWithinPartitions(*order)
 
@@ -291,8 +314,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], names=["part", "shard", "docs", "tokens", "file"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                piece = b.slice(at, 128)
+            for piece in _runs(b):
                 for name, ids in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist(), end), strict=True):
                     names.append(name)
                     arrays.append(ids)
