@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -27,8 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Unset, a local one serves where all runs on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (at or LOCAL_CHECKPOINTS).rstrip("/")
 
 
@@ -51,6 +54,28 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Folder:
+    """A scratch folder for the steps of one operator, deleted when its result no longer reads them."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.path, self.steps = spark, scratch(spark, tag), 0
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        self.steps += 1
+        return stored(df, "", f"{self.path}/{self.steps}")
+
+    def drop(self) -> None:
+        discard(self.spark, self.path)
+
+
+FEW = 500_000
+
+
+def few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """Narrow stored rows, marked for a broadcast if they are at most `most`, else left to a shuffled join."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the rows whose labels are never learnt from: crc32(doc_id as text) mod 4 is 2. A null id is not held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import few, stored
 
-BROADCAST_ROWS = 10_000
-MAX_RATE = 500.0
+PART_RATE = 500.0  # exp(-rate) is still a normal number
+RUN = 4096  # copies of a document that are listed at once
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.7, epochs: float = 1.0) -> DataFrame:
@@ -38,12 +38,16 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
     return weighed.select("source", "n", rate.alias("rate"))
 
 
+def parts(rate: str = "rate") -> Column:
+    """How many draws a rate is split into: sums of independent Poisson numbers are Poisson, of the summed rate."""
+    return F.greatest(F.ceil(F.col(rate) / PART_RATE), F.lit(1)).cast("int")
+
+
 def poisson_cdf(rate: str = "rate") -> Column:
-    """P(count <= k) for k = 0, 1, ... up to where no double is left to gain."""
+    """P(count <= k) for k = 0, 1, ... up to where no double is left to gain; for a rate of PART_RATE at most."""
     last = f"cast(ceil({rate} + 12 * sqrt({rate}) + 30) as int)"
     step = f"struct(s.p * {rate} / k as p, array_append(s.c, element_at(s.c, -1) + s.p * {rate} / k) as c)"
-    guard = f"if({rate} > {MAX_RATE}, raise_error(concat('a rate of ', {rate}, ' copies is more than {MAX_RATE:g}')), exp(-{rate}))"
-    return F.expr(f"aggregate(sequence(1, {last}), struct({guard} as p, array({guard}) as c), (s, k) -> {step}, s -> s.c)")
+    return F.expr(f"aggregate(sequence(1, {last}), struct(exp(-{rate}) as p, array(exp(-{rate})) as c), (s, k) -> {step}, s -> s.c)")
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -56,19 +60,33 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, tempe
 
     A row is keyed by its doc_id, or by its text where that is null; rows of one key draw alike. Columns copy and
     shuffle_key of docs are replaced; a null source is a source of its own. A source of weight zero is left
-    out; an empty table stays empty. Rates above 500 copies raise an error.
+    out; an empty table stays empty. A rate above 500 is the sum of several draws, so rates have no limit.
     """
-    docs = docs.drop("copy", "shuffle_key")
-    rates = source_rates(docs, weights, temperature, epochs).select(F.col("source").alias("__source"), poisson_cdf().alias("__cdf"))
-    rates = stored(rates, "rates")
-    if rates.count() <= BROADCAST_ROWS:
-        rates = F.broadcast(rates)
+    return _shuffled(docs.drop("copy", "shuffle_key"), weights, temperature, epochs, seed)
+
+
+def replicated(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.7, epochs: float = 1.0, seed: int = 17) -> DataFrame:
+    """As mixed(), with just the columns of docs, a column copy or shuffle_key among them as it is."""
+    own = [x for x in ("copy", "shuffle_key") if x in docs.columns]
+    out = _shuffled(docs.withColumnsRenamed({x: f"__{x}" for x in own}), weights, temperature, epochs, seed)
+    return out.drop("copy", "shuffle_key").withColumnsRenamed({f"__{x}": x for x in own})
+
+
+def _shuffled(docs: DataFrame, weights: dict[str | None, float] | None, temperature: float, epochs: float, seed: int) -> DataFrame:
+    """The copies go to a partition by their place in the even range of the hash, so no pass is needed to find its bounds."""
+    split = source_rates(docs, weights, temperature, epochs).withColumn("parts", parts()).withColumn("rate", F.col("rate") / F.col("parts"))
+    rates = few(stored(split.select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), poisson_cdf().alias("__cdf")), "rates"), 10_000)
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")))))
     drawn = docs.withColumn("__key", key).join(rates, F.col("source").eqNullSafe(F.col("__source")))
-    drawn = drawn.withColumn("__u", uniform(F.col("__key"), seed)).withColumn("__n", F.expr("size(filter(__cdf, c -> __u >= c))"))
-    copies = drawn.where("__n > 0").drop("__cdf", "__source", "__u").withColumn("copy", F.explode(F.expr("sequence(1, __n)")))
-    copies = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}#"), F.col("__key"), F.lit("#"), F.col("copy").cast("string"))))
-    return copies.drop("__key", "__n").orderBy("shuffle_key", "doc_id", "copy")
+    more = F.transform(F.sequence(F.lit(1), F.col("__parts") - 1), lambda i: uniform(F.concat("__key", F.lit("|"), i.cast("string")), seed))
+    each = F.concat(F.array(uniform(F.col("__key"), seed)), F.when(F.col("__parts") > 1, more).otherwise(F.array().cast("array<double>")))
+    drawn = drawn.withColumn("__u", each).withColumn("__n", F.expr("aggregate(__u, 0L, (s, u) -> s + size(filter(__cdf, c -> u >= c)))"))
+    runs = drawn.where("__n > 0").drop("__cdf", "__source", "__u", "__parts").withColumn("__run", F.explode(F.expr(f"sequence(0L, (__n - 1) div {RUN})")))
+    copies = runs.withColumn("copy", F.explode(F.expr(f"sequence(cast(__run * {RUN} + 1 as int), cast(least((__run + 1) * {RUN}, __n) as int))")))
+    copies = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}#"), F.col("__key"), F.lit("#"), F.col("copy").cast("string")))).drop("__key", "__n", "__run")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.conv(F.substring("shuffle_key", 1, 12), 16, 10).cast("long").cast("double") / F.lit(float(1 << 48))
+    return copies.repartitionById(n, F.floor(place * n).cast("int")).sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
 def mixed_sql(temperature: float = 0.7, epochs: float = 1.0, seed: int = 17) -> str:
