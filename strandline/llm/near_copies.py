@@ -1,34 +1,42 @@
-"""Near copies by the Jaccard similarity of five-word shingles: MinHash bands find candidates, an exact check decides.
-
-A text's distinct shingles give 48 keys of six minima each. Two texts of similarity 0.8 share no key with a
-probability below one in a million, so what is compared is all that can be alike; each candidate is then checked on
-the shingles of both texts. Work is on distinct shingle sets, so copies never multiply.
-
-Texts of one key are compared with each other where they are few. A key of more than `dense` sets is first compared
-with its smallest set only, which joins a large group of copies in linear work. Where that leaves a key in several
-classes, its sets meet those of other classes by their rarest shingles (prefix filtering), which loses no pair.
+"""SimHash near-dedup at a five-word Jaccard similarity of 0.8: wide fingerprints, deletion variants, an exact check.
+
+At a similarity of 0.8 two fingerprints differ in about 15 % of their bits, too many for a few segments of 64 bits. So a
+text's distinct shingles vote on 1,024 bits, seen as a square of 32 x 32, whose 32 rows and 32 columns are the segments.
+Two texts are compared if any segment of theirs differs by at most one bit: every segment is indexed by its one-wildcard
+variants. A segment travels twice, once by its upper and once by its lower half; whatever bit differs, one of the halves
+is equal, and the variants of the other half are met inside the group of that half, without a row for each of them.
+
+What meets is verified. Fingerprints too far apart for 0.8 by five standard deviations are dropped and those as surely
+nearer are links; in between, and for sets of fewer than 64 shingles, the shingles of both texts decide. A pair of
+similarity 0.8 shares no variant with a probability of about one in nine, of 0.85 in a hundred, of 0.9 in 10,000;
+what counts is whether a text is joined to any of its class, and the README has the share that brute force finds missed.
+
+Work is on distinct shingle sets, so copies never multiply. A variant with more than `dense` sets is first compared with
+its smallest set only, which joins a large group in linear work; where that leaves it in several classes, the pairs of
+sets from different classes are compared too, so no pair that meets is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from ._common import ship, stored
+from ._common import Folder, few, ship, stored
 from ._graph import connected_components
-from .simhash import stay
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 48, 6
-BLOCK = 4096
-_DRAWN = np.random.default_rng(20240501).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
-FLIPS, FACTORS = _DRAWN[0], _DRAWN[1] | np.uint64(1)
+SIDE = 32
+BITS = SIDE * SIDE
+EXACT_BELOW = 64  # shingles; the bits of smaller sets are no normal approximation
+HELD = 1 << 20  # rows of one half's group beyond which long runs are no longer held
+_DRAWN = np.random.default_rng(20240501).integers(0, 1 << 64, (2, BITS // 64), dtype=np.uint64) | np.uint64(1)
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()  # a byte's bits, one in each byte
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -51,114 +59,272 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> boo
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """A key for each band of the set's MinHash signature; none for an empty set."""
-    import xxhash
+def fingerprint(s: np.ndarray) -> np.ndarray:
+    """The 1,024 majority bits of a shingle set, as bytes; a bit is set if it is in over half of the hashes."""
+    counts = np.zeros(BITS, dtype=np.int32)
+    for at in range(0, len(s), 255):  # so many fit into the lanes of a byte
+        h = s[at : at + 255, None] * _DRAWN[0]
+        h ^= h >> np.uint64(29)
+        h *= _DRAWN[1]
+        h ^= h >> np.uint64(32)
+        counts += _LANES.take(h.view(np.uint8)).sum(axis=0).view(np.uint8)
+    return np.packbits(2 * counts > len(s))
+
+
+def segments(fp: np.ndarray) -> np.ndarray:
+    """The rows and the columns of a fingerprint's square, as 64 integers of 32 bits."""
+    square = np.unpackbits(fp).reshape(SIDE, SIDE)
+    return np.packbits(np.stack([square, square.T]), axis=2).view(">u4").reshape(2 * SIDE).astype(np.int64)
+
+
+def half_keys(fp: np.ndarray) -> np.ndarray:
+    """Two keys for each segment: its number and side, the half that groups (16 bits) and the half that may differ (16 bits)."""
+    v, at = segments(fp), np.arange(2 * SIDE, dtype=np.int64) << 33
+    return np.concatenate([at | v, at | (1 << 32) | (v & 0xFFFF) << 16 | v >> 16])
 
-    if not len(s):
-        return np.zeros(0, dtype=np.int64)
-    least = [((s[at : at + BLOCK] ^ FLIPS) * FACTORS).min(axis=1) for at in range(0, len(s), BLOCK)]
-    rows = np.min(least, axis=0).reshape(BANDS, ROWS)
-    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)), dtype=np.uint64, count=BANDS).view(np.int64)
+
+def distances(similarity: float, spread: float = 5.0) -> tuple[int, int]:
+    """Differing bits up to which two sets are surely that similar, and beyond which they surely are not."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    reach = spread * math.sqrt(p * (1 - p) / BITS)
+    return int((p - reach) * BITS), int((p + reach) * BITS) + 1
 
 
 def with_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs with __fp (the digest of each text's shingle set as a signed long), __size and __keys as last columns."""
-    rows = docs.drop("__fp", "__size", "__keys")
-    at = rows.columns.index("text")
-    names = [*rows.columns, "__fp", "__size", "__keys"]
+    """(doc_id, th, id, size, fp) of each row: the text's hash, its shingle set's digest, size and fingerprint; a set of size 0 has id 0."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            fp, size, keys = [], [], []
-            for x in b.column(at):
-                s = shingles(x.as_py(), shingle)
-                fp.append(xxhash.xxh64_intdigest(s.tobytes(), 7) if len(s) else 0)
-                size.append(len(s))
-                keys.append(band_keys(s))
-            cols = [pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=names)
+            got = [shingles(x.as_py(), shingle) for x in b.column(2)]
+            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) if len(s) else 0 for s in got], dtype=np.uint64).view(np.int64)
+            fps = pa.array([fingerprint(s).tobytes() if len(s) else None for s in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array([len(s) for s in got], pa.int32()), fps], names=["doc_id", "th", "id", "size", "fp"])
 
     ship(docs.sparkSession)
-    more = [StructField("__fp", LongType()), StructField("__size", IntegerType()), StructField("__keys", ArrayType(LongType()))]
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *more]))
+    return docs.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, id long, size int, fp binary")
+
 
+def text_hash():
+    """Of a row's text, null apart from empty."""
+    return F.xxhash64(F.col("text"), F.col("text").isNull())
 
-def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of set digests whose sets are alike, by the texts (fp, text) that have them."""
+
+def _keyed(sets: DataFrame) -> DataFrame:
+    """(key, id): the half keys of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys = [half_keys(np.frombuffer(x.as_py(), dtype=np.uint8)) for x in b.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(b.column(0).to_numpy(), 4 * SIDE))], names=["key", "id"])
+
+    return sets.select("id", "fp").mapInArrow(run, "key long, id long")
+
+
+class _Meeting:
+    """Pairs (a, b) and members (g, a) of the variants met in rows (key, id) that come sorted."""
+
+    def __init__(self, dense: int):
+        self.dense, self.out = dense, []
+        self.long: set[int] = set()  # keys of the open group whose members have been put out
+
+    def members(self, g: np.ndarray, a: np.ndarray) -> None:
+        self.out.append((g, a, np.zeros(0, dtype=np.int64)))
+
+    def pairs(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.out.append((np.zeros(0, dtype=np.int64), np.maximum(x, y), np.minimum(x, y)))
+
+    def shorten(self, key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A group too large to hold: the members of long runs go out under all their variants; dense + 1 stand for them."""
+        runs, start, count = np.unique(key, return_index=True, return_counts=True)
+        keep = np.ones(len(key), dtype=bool)
+        for k, s, n in zip(runs.tolist(), start.tolist(), count.tolist(), strict=True):
+            if n > self.dense:
+                rest = ids[s + self.dense + 1 : s + n] if k in self.long else ids[s : s + n]
+                for g in ([k] if not k >> 32 & 1 else []) + [k & ~(1 << j) | (j + 1) << 40 for j in range(16)]:
+                    self.members(np.full(len(rest), g), rest)
+                self.long.add(k)
+                keep[s + self.dense + 1 : s + n] = False
+        return key[keep], ids[keep]
+
+    def groups(self, key: np.ndarray, ids: np.ndarray) -> None:
+        """All variants of whole groups."""
+        runs, start, count = np.unique(key, return_index=True, return_counts=True)
+        upper = runs >> 32 & 1 == 0  # equal segments meet in either half; once is enough
+        self._within(runs, start, count, ids, upper & (count > 1))
+        for j in range(16):
+            low = np.flatnonzero(runs >> j & 1 == 0)
+            to = np.searchsorted(runs, runs[low] | 1 << j)
+            met = (to < len(runs)) & (runs[np.minimum(to, len(runs) - 1)] == runs[low] | 1 << j)
+            x, y = low[met], to[met]
+            many = count[x] + count[y] > self.dense
+            for side in (x[many], y[many]):
+                side_g = (runs[side] & ~(1 << j)) | (j + 1) << 40
+                if self.long:  # their members are out already
+                    side_g, side = side_g[fresh := ~np.isin(runs[side], list(self.long))], side[fresh]
+                at, of = _spread(start[side], count[side])
+                self.members(side_g[of], ids[at])
+            x, y = x[~many], y[~many]
+            at, of = _spread(start[x], count[x])
+            bt, bf = _spread(start[y][of], count[y][of])
+            self.pairs(ids[at][bf], ids[bt])
+        self.long.clear()
+
+    def _within(self, runs: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, which: np.ndarray) -> None:
+        few_, many = np.flatnonzero(which & (count <= self.dense)), np.flatnonzero(which & (count > self.dense))
+        if self.long:
+            many = many[~np.isin(runs[many], list(self.long))]
+        at, of = _spread(start[many], count[many])
+        self.members(runs[many][of], ids[at])
+        for n in np.unique(count[few_]).tolist():
+            first = start[few_[count[few_] == n]]
+            p, q = np.triu_indices(n, 1)
+            self.pairs(ids[(first[:, None] + p).ravel()], ids[(first[:, None] + q).ravel()])
+
+    def taken(self) -> pa.RecordBatch:
+        g = np.concatenate([np.concatenate([g, np.full(len(b), -1)]) for g, _, b in self.out] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
+        a = np.concatenate([a for _, a, _ in self.out] or [np.zeros(0, dtype=np.int64)])
+        b = np.concatenate([np.concatenate([np.zeros(len(g), dtype=np.int64), b]) for g, _, b in self.out] or [np.zeros(0, dtype=np.int64)])
+        self.out = []
+        if len(a):
+            rows = np.unique(np.stack([g, a, b], axis=1), axis=0) if len(a) < HELD else np.stack([g, a, b], axis=1)
+            g, a, b = rows.T
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (g, a, b)], names=["g", "a", "b"])
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places start .. start + count of each run in turn, and which run each is of."""
+    of = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + start[of], of
+
+
+def _met(sets: DataFrame, dense: int) -> DataFrame:
+    """(g, a, b): with g = -1 a pair of sets that meet in a variant, else a member a of the variant g, which has many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meet = _Meeting(dense)
+        key, ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        for b in batches:
+            key, ids = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([ids, b.column(1).to_numpy()])
+            if len(key) < HELD // 4:
+                continue
+            cut = int(np.searchsorted(key, key[-1] >> 16 << 16))  # the last group may go on
+            if cut:
+                meet.groups(key[:cut], ids[:cut])
+                key, ids = key[cut:], ids[cut:]
+            if len(key) >= HELD:
+                key, ids = meet.shorten(key, ids)
+            yield meet.taken()
+        if len(key):
+            meet.groups(key, ids)
+        yield meet.taken()
+
+    keyed = _keyed(sets).repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "id")
+    return keyed.mapInArrow(run, "g long, a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, sure) of the pairs whose sizes and fingerprints allow that similarity; sure: no need to look at the texts."""
+    near, far = distances(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(256)(lambda text: shingles(text, shingle))
         for t in batches:
-            alike = [similar(known(x.as_py()), known(y.as_py()), similarity) for x, y in zip(t.column(2), t.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            if not t.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), dtype=np.uint64).reshape(t.num_rows, -1) for k in (2, 3))
+            d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            large = t.column(4).to_numpy(zero_copy_only=False)
+            out = pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(large & (d <= near))], names=["a", "b", "sure"])
+            yield out.filter(pa.array(~large | (d <= far)))
 
-    x, y = texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), texts.select(F.col("fp").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    x = sets.select(F.col("id").alias("a"), F.col("fp").alias("x"), F.col("size").alias("n"))
+    y = sets.select(F.col("id").alias("b"), F.col("fp").alias("y"), F.col("size").alias("m"))
+    both = pairs.join(x, "a").join(y, "b").where(f"least(n, m) >= {similarity} * greatest(n, m) - 1e-9")
+    return both.select("a", "b", "x", "y", F.expr(f"least(n, m) >= {EXACT_BELOW}").alias("large")).mapInArrow(run, "a long, b long, sure boolean")
 
 
-def _texts(marked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(fp, text), one for each set in pairs."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    return stored(marked.select(F.col("__fp").alias("fp"), "text").join(ends, "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text")), "texts")
-
-
-def links(marked: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, dense: int = 16) -> DataFrame:
-    """Edges (a > b) that join all sets of `similarity` or more; marked is from with_sets, and stored."""
-    sets = marked.where("__size > 0").groupBy(F.col("__fp").alias("id")).agg(F.any_value("__size").alias("size"), F.any_value("__keys").alias("keys"))
-    listed = stored(sets, "sets").select("id", "size", F.explode("keys").alias("key"))
-    shared = listed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("c")).where("n > 1")
-    met = stored(listed.join(shared, "key"), "met")
-    fits = f"least(size, osize) >= {similarity} * greatest(size, osize) - 1e-9"
-    few = met.where(f"n <= {dense}").select("key", "id", "size")
-    other = few.select(F.col("key").alias("okey"), F.col("id").alias("oid"), F.col("size").alias("osize"))
-    pairs = few.join(other, F.expr(f"key = okey and id > oid and {fits}")).select(F.col("id").alias("a"), F.col("oid").alias("b"))
-    many = met.where(f"n > {dense}")
-    pairs = stored(pairs.unionAll(many.where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))).distinct(), "pairs")
-    edges = stored(_checked(pairs, _texts(marked, pairs), shingle, similarity), "links")
-    if many.isEmpty():
-        return edges
-    roots = connected_components(edges).withColumnRenamed("node", "id")
-    placed = stored(many.join(roots, "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root")), "placed")
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    apart = stored(placed.join(split, "key", "left_semi").select("id", "size", "root").distinct(), "apart")
-    rest = stored(_across(apart, marked, shingle, similarity, fits).join(pairs, ["a", "b"], "left_anti"), "rest")
-    return edges.unionAll(_checked(rest, _texts(marked, rest), shingle, similarity))
-
-
-def _across(apart: DataFrame, marked: DataFrame, shingle: int, similarity: float, fits: str) -> DataFrame:
-    """Pairs (a, b) of sets (id, size, root) with different roots: all that may be alike, by their rarest shingles.
-
-    Two sets of that similarity have a shingle in common among the size - ceil(similarity * size) + 1 rarest of each.
-    """
+def _checked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, shingle: int, similarity: float, at: Folder) -> DataFrame:
+    """The pairs (a, b) of set digests whose shingles are that similar, by one text of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(256)(lambda text: shingles(text, shingle))
         for t in batches:
-            for i, text in zip(t.column(0).to_pylist(), t.column(1), strict=True):
-                s = shingles(text.as_py(), shingle)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, dtype=np.int64)), pa.array(s.view(np.int64))], names=["id", "h"])
+            alike = [similar(known(x.as_py()), known(y.as_py()), similarity) for x, y in zip(t.column(2), t.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    one = marked.join(ends, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "th")).alias("w"))
+    one = few(at.stored(one.select(F.col("w.doc_id").alias("__i"), F.col("w.th").alias("__h"), "id")))
+    rows = docs.select("doc_id", "text", text_hash().alias("__t")).join(one, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__h")))
+    texts = at.stored(rows.groupBy("id").agg(F.any_value("text").alias("text")))
+    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
 
-    texts = _texts(marked, apart.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    grams = stored(texts.mapInArrow(run, "id long, h long"), "grams")
-    often = grams.groupBy("h").agg(F.count("*").alias("n"))
-    ranked = grams.join(often, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("s")).join(apart, "id")
-    rarest = F.slice("s", F.lit(1), F.expr(f"cast(size - ceil({similarity} * size - 1e-9) + 1 as int)"))
-    rare = stored(ranked.select("id", "size", "root", F.explode(F.filter(rarest, lambda g: g["n"] > 1)).alias("g")).select("id", "size", "root", "g.h"), "rare")
-    other = rare.select(F.col("h").alias("oh"), F.col("id").alias("oid"), F.col("size").alias("osize"), F.col("root").alias("oroot"))
-    met = rare.join(other, F.expr(f"h = oh and id > oid and root <> oroot and {fits}"))
-    return met.select(F.col("id").alias("a"), F.col("oid").alias("b")).distinct()
+def _classes(edges: DataFrame, at: Folder) -> DataFrame:
+    return at.stored(connected_components(edges).withColumnRenamed("node", "id"))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different classes so far."""
+    p, q = (roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    return pairs.join(p, "a", "left").join(q, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+
+def classes(marked: DataFrame, docs: DataFrame, at: Folder, shingle: int = SHINGLE, similarity: float = SIMILARITY, dense: int = 16) -> DataFrame:
+    """(id, root) of all sets that are linked to another; marked is from with_sets(docs), stored."""
+    sets = at.stored(marked.where("size > 0").groupBy("id").agg(F.any_value("size").alias("size"), F.any_value("fp").alias("fp")))
+    met = at.stored(_met(sets, dense))
+    many = met.where("g >= 0").select("g", F.col("a").alias("id"))
+    hubs = at.stored(many.groupBy("g").agg(F.min("id").alias("b")))
+    stars = many.join(hubs, "g").where("id <> b").select(F.col("id").alias("a"), "b")
+    pairs = at.stored(met.where("g < 0").select("a", "b").unionAll(stars).distinct())
+    links = at.stored(_verified(pairs, sets, similarity))
+    sure = links.where("sure").select("a", "b")
+    open_ = at.stored(_apart(links.where("not sure").select("a", "b"), _classes(sure, at)))
+    edges = at.stored(sure.unionAll(_checked(open_, docs, marked, shingle, similarity, at)))
+    roots = _classes(edges, at)
+    if hubs.isEmpty():
+        return roots
+    placed = at.stored(many.distinct().join(roots, "id", "left").select("g", "id", F.coalesce("root", "id").alias("root")))
+    split = at.stored(placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g"))
+    if split.isEmpty():
+        return roots
+    x = placed.join(split, "g", "left_semi")
+    y = x.select(F.col("g").alias("h"), F.col("id").alias("b"), F.col("root").alias("other"))
+    cross = x.join(y, (F.col("g") == F.col("h")) & (F.col("id") > F.col("b")) & (F.col("root") != F.col("other")))
+    rest = at.stored(cross.select(F.col("id").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    links = at.stored(_verified(rest, sets, similarity))
+    sure = at.stored(edges.unionAll(links.where("sure").select("a", "b")))
+    open_ = at.stored(_apart(links.where("not sure").select("a", "b"), _classes(sure, at)))
+    return _classes(sure.unionAll(_checked(open_, docs, marked, shingle, similarity, at)), at)
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, dense: int = 16) -> DataFrame:
     """The rows of docs that stay when each class of near copies keeps one, with all their columns.
 
-    Texts of `similarity` or more are linked, and a class is all that links reach; texts without words are copies of
-    each other. The row that stays is chosen as in simhash.one_of_each. Columns __fp, __size and __keys are dropped.
+    Texts of `similarity` or more that meet are linked, and a class is all that links reach; texts without words (null
+    and blank ones) are copies of each other. The row with the smallest doc_id stays, one without an id only where no
+    other is in its class; of rows with that id the one whose text has the smallest hash, and of equal texts any one.
+    An empty table stays empty. No column of docs is changed, whatever its name.
     """
-    marked = stored(with_sets(docs, shingle), "marked")
-    distinct = marked.select(F.col("__fp").alias("fp")).distinct()
-    roots = connected_components(links(marked, shingle, similarity, dense)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return stay(marked, rooted).drop("__size", "__keys")
+    spark = docs.sparkSession
+    at = Folder(spark, "near-copies")
+    marked = at.stored(with_sets(docs, shingle))
+    roots = classes(marked, docs, at, shingle, similarity, dense)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    placed = marked.groupBy("id").agg(F.min(order).alias("w")).join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "w")
+    best = placed.groupBy("root").agg(F.min("w").alias("w"))
+    chosen = stored(best.select(F.col("w.doc_id").alias("__i"), F.col("w.th").alias("__h")), "stay")
+    ours = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__h"))
+    repeated = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__h")), "left_semi").count() > chosen.count()
+    at.drop()
+    names = [f"`{c}`" for c in docs.columns]
+    kept = docs.withColumn("__t", text_hash()).join(chosen, ours, "left_semi")
+    if repeated:
+        first = Window.partitionBy("doc_id", "__t").orderBy(F.lit(0))
+        kept = kept.withColumn("__r", F.row_number().over(first)).where("__r = 1")
+    return kept.select(*names)
