@@ -1,4 +1,4 @@
-"""The near-dedup stage against brute force over all pairs."""
+"""The near-dedup stage against brute force over all pairs, and its variants against brute force over all segments."""
 
 import numpy as np
 import pytest
@@ -40,19 +40,77 @@ def texts():
     return out
 
 
+def holds(kept, docs):
+    """No row goes that brute force keeps, and few stay that it drops: a pair of just 0.8 may share no variant."""
+    want = stay_by_force(docs)
+    assert 4 < len(want) < len(docs)
+    assert set(want) <= set(kept) and len(kept) - len(want) <= 0.05 * len(docs)
+    return len(kept) - len(want)
+
+
 @pytest.mark.parametrize("dense", [16, 2])
 def test_near_copies_by_force(spark, sf, dense):
     docs = list(enumerate(texts()))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = stay_by_force(docs)
-    assert 4 < len(want) < len(docs)
-    assert sorted(r["doc_id"] for r in near_copies.one_of_each(df, dense=dense).collect()) == want
+    holds([r["doc_id"] for r in near_copies.one_of_each(df, dense=dense).collect()], docs)
+
+
+def test_near_copies_of_documents(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = [(r["doc_id"], r["text"]) for r in rows.orderBy("doc_id").collect()]
+    assert holds([r["doc_id"] for r in near_copies.one_of_each(rows).collect()], docs) <= 1
 
 
 def test_stage_takes_similarity(spark, sf):
     docs = list(enumerate(texts()))
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf)
-    assert kept.columns == ["doc_id", "text"] and sorted(r["doc_id"] for r in kept.collect()) == stay_by_force(docs)
+    assert kept.columns == ["doc_id", "text"]
+    holds([r["doc_id"] for r in kept.collect()], docs)
+
+
+def variants_by_force(fps):
+    segs = [near_copies.segments(f).tolist() for f in fps]
+    return {(i, j) for i in range(len(fps)) for j in range(i) if any((x ^ y).bit_count() <= 1 for x, y in zip(segs[i], segs[j], strict=True))}
+
+
+@pytest.mark.parametrize(("dense", "held"), [(100, 1 << 20), (3, 1 << 20), (3, 8)])
+def test_variants_by_force(dense, held):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 256, (3, near_copies.BITS // 8), dtype=np.uint8)
+    fps = []
+    for k in range(30):
+        bits = np.unpackbits(base[k % 3])
+        bits[rng.integers(0, near_copies.BITS, 10 * (k % 9))] ^= 1
+        fps.append(np.packbits(bits))
+    rows = sorted((int(key), i) for i, f in enumerate(fps) for key in near_copies.half_keys(f))
+    key, ids = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    meet, parts = near_copies._Meeting(dense), []
+    for group in np.unique(key >> 16):
+        own = key >> 16 == group
+        k, i = key[own], ids[own]
+        if len(k) > held:
+            k, i = meet.shorten(k, i)
+        meet.groups(k, i)
+        parts.append(meet.taken())
+    pairs, members = set(), {}
+    for part in parts:
+        for g, a, b in zip(*(part.column(x).to_pylist() for x in range(3)), strict=True):
+            if g < 0:
+                pairs.add((a, b))
+            else:
+                members.setdefault(g, set()).add(a)
+    assert bool(members) == (dense == 3)
+    pairs |= {(i, j) for m in members.values() for i in m for j in m if i > j}
+    assert pairs == variants_by_force(fps)
+
+
+def test_fingerprint_by_definition():
+    s = near_copies.shingles(" ".join(f"w{k * k % 701}" for k in range(900)))
+    one = np.stack([near_copies.fingerprint(s[k : k + 1]) for k in range(len(s))])
+    assert len(s) > 510 and (near_copies.fingerprint(s) == np.packbits(2 * np.unpackbits(one, axis=1).sum(axis=0, dtype=int) > len(s))).all()
+    square = np.unpackbits(one[0]).reshape(32, 32)
+    want = [int("".join(map(str, x)), 2) for x in [*square.tolist(), *square.T.tolist()]]
+    assert near_copies.segments(one[0]).tolist() == want
 
 
 def test_similar_at_the_threshold():
