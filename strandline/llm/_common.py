@@ -76,6 +76,13 @@ def few(rows: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the rows whose labels are never learnt from: crc32(doc_id as text) mod 4 is 2. A null id is not held out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

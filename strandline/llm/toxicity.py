@@ -13,19 +13,23 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, ship, stored
+from ._common import few, held_out, ship, stored
 
 SPLIT = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes(ord(LOWER[UPPER.index(chr(c))]) if chr(c) in UPPER else c if chr(c) in LOWER or c > 127 else 32 for c in range(256))
 
 
+REACH = 3
+
+
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
@@ -114,49 +118,52 @@ def _karlin(scores: np.ndarray, p: np.ndarray, drift: float) -> float:
     return (low + high) / 2
 
 
-BROADCAST_ROWS = 1_000_000
-
-
-def small(rows: DataFrame, tag: str) -> DataFrame:
-    """Narrow rows written once; marked for a broadcast if they are at most BROADCAST_ROWS, else left to a shuffled join."""
-    rows = stored(rows, tag)
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def known_labels(labels: DataFrame, target: str) -> DataFrame:
     """(__id, y) of the ids that are labelled 0 or 1 and not held out; of repeated ones the larger label."""
     y = labels.select(F.col("doc_id").alias("__id"), F.col(target).cast("int").alias("y")).where("y in (0, 1) and __id is not null")
     return y.groupBy("__id").agg(F.max("y").alias("y")).where(~held_out("__id"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
-    """(doc_id, text, y) of the training rows, written once."""
-    y = small(known_labels(labels, target), "labels")
-    rows = docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
-    return stored(rows, "labelled")
+def labelled(docs: DataFrame, labels: DataFrame, target: str, sample: int) -> DataFrame:
+    """(doc_id, text, y) of the training rows, written once; of at most `sample` ids of each label, those with the smallest hash."""
+    y = stored(known_labels(labels, target), "labels")
+    mark, chosen = F.xxhash64("__id", F.lit(7)), []
+    for k, n in sorted((r["y"], r["count"]) for r in y.groupBy("y").count().collect()):
+        share = min(1.0, 1.5 * sample / n + 1000 / n)  # a share by hash first, so that the sort has few to keep
+        own = y.where((F.col("y") == k) & (F.pmod(mark, F.lit(1 << 20)) < int(share * (1 << 20))))
+        chosen.append(own if n <= sample else own.orderBy(mark, "__id").limit(sample))
+    if not chosen:
+        return docs.limit(0).select("doc_id", "text", F.lit(0).alias("y"))
+    ids = few(stored(reduce(DataFrame.unionAll, chosen), "sample"))
+    return stored(docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y"), "labelled")
 
 
-def one_of_copies(rows: DataFrame) -> DataFrame:
-    """Training rows without near copies: of the rows of one label whose three-word shingles have the same least hash, the one
-    with the smallest id. Otherwise each rare word of a much-copied document would look like evidence."""
-    w = F.split(F.translate("text", UPPER, LOWER), SPLIT)
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    sketched = rows.where("text is not null").select("doc_id", "y", w.alias("w")).select("doc_id", "y", F.array_min(grams).alias("sketch"))
-    first = small(sketched.groupBy("sketch", "y").agg(F.min("doc_id").alias("__first")).select("__first").distinct(), "training")
-    return rows.join(first, F.col("doc_id") == F.col("__first"), "left_semi")
+def contexts(rows: DataFrame) -> DataFrame:
+    """(w, context): one context of each token of each text, that with the least hash, without repeats.
+
+    A context is the tokens REACH before and behind. Copies and near copies of a text have the same contexts, so the rare
+    words of a much-copied document are no evidence, while a word or short phrase that makes texts toxic stands in
+    different ones. No row is left out.
+    """
+    w = rows.select(F.xxhash64("text").alias("t"), F.split(F.translate("text", UPPER, LOWER), SPLIT).alias("ws")).where("ws is not null")
+    near = F.transform("ws", lambda x, i: F.struct(x.alias("w"), F.xxhash64(F.get("ws", i - REACH), F.get("ws", i + REACH)).alias("context")))
+    each = w.select("t", F.explode(near).alias("x")).groupBy("t", "x.w").agg(F.min("x.context").alias("context"))
+    return each.select("w", "context").distinct()
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float = 0.1, z: float = 3.0, bound: float = 1.0, drift: float = 0.5, max_lexicon: int = 50_000) -> ToxicityModel:
-    """Fit on all labelled rows that are not held out; the lexicon on those without near copies.
+def train(docs: DataFrame, labels: DataFrame, prior: float = 0.1, z: float = 3.0, bound: float = 1.0, drift: float = 0.5, sample: int = 100_000) -> ToxicityModel:
+    """Fit on labelled rows that are not held out; a token's incidence is that of documents, among toxic ones of contexts().
 
     prior: prior mass as a share of all incidences. z: least z-score of a lexicon token. bound: standard
-    deviations taken off its log-odds. max_lexicon bounds the model (the most significant tokens stay), so that
-    it can be sent to every task. Without labelled rows of both kinds the lexicon is empty.
+    deviations taken off its log-odds. sample: at most so many labelled ids of each kind, those with the smallest hash,
+    which bounds the lexicon, so that it can be sent to every task: it holds no token that is not in two of their toxic
+    texts. Without labelled rows of both kinds the lexicon is empty.
     """
-    rows = labelled(docs, labels, "toxic")
+    rows = labelled(docs, labels, "toxic", sample)
+    toxic = contexts(rows.where("y = 1")).groupBy("w").agg(F.count("*").alias("y1")).select("w", "y1", F.col("y1").alias("n"))
     toks = F.array_distinct(F.split(F.translate("text", UPPER, LOWER), SPLIT))
-    apart = one_of_copies(rows)
-    seen = apart.select("y", F.explode(toks).alias("w")).where("w <> ''").groupBy("w").agg(F.sum("y").alias("y1"), F.count("*").alias("n"))
+    other = rows.where("y = 0").select(F.explode(toks).alias("w")).groupBy("w").agg(F.count("*").alias("n")).select("w", F.lit(0).cast("long").alias("y1"), "n")
+    seen = toxic.unionAll(other).where("w <> ''").groupBy("w").agg(F.sum("y1").alias("y1"), F.sum("n").alias("n"))
     seen = stored(seen, "incidence")
     n1, n = (float(x or 0) for x in seen.agg(F.sum("y1"), F.sum("n")).first())
     model = ToxicityModel(drift=drift)
@@ -168,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float = 0.1, z: float = 3.0
     odds = F.ln((y1 + alpha) / (n1 + a0 - y1 - alpha)) - F.ln((y0 + alpha) / (n0 + a0 - y0 - alpha))
     sd = F.sqrt(1 / (y1 + alpha) + 1 / (y0 + alpha))
     strong = seen.where("y1 >= 2").withColumn("odds", odds).withColumn("sd", sd).where(F.col("odds") >= z * F.col("sd"))
-    top = strong.orderBy(F.desc(F.col("odds") / F.col("sd")), "w").limit(max_lexicon).select("w", "y1", "n").collect()
+    top = strong.select("w", "y1", "n").collect()
     if not top:
         return model
     c1, c = (np.array([r[k] for r in top], dtype=float) for k in ("y1", "n"))
@@ -184,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float = 0.1, z: float = 3.0
 
 def _calibrate(model: ToxicityModel, rows: DataFrame) -> None:
     """Logistic fit of the label on ln(1 + evidence) over all training rows, from counts in 0.05-wide bins."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+    held = ship(rows.sparkSession).sparkContext.broadcast(model)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, counts = held.value, {}
