@@ -5,19 +5,26 @@ phrases, one separator for all others. Stretches of phrase words too short for a
 occurrence and are left out, with the separators between. Over what remains an FM-index is built: suffix array,
 Burrows-Wheeler transform, its wavelet tree for rank, and every 16th suffix position. All phrases are searched
 backward in step, each occurrence is located by walking to a sampled suffix, and the spans found are merged.
+
+A benchmark beyond block_bytes is searched in blocks, one after the other: neither the driver nor a task ever holds more
+than a block. What the blocks find is kept by text and merged.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._common import ship
+from ._common import Folder, discard, few, fresh, scratch, ship, stored
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 SAMPLE = 16
@@ -122,10 +129,10 @@ class FMIndex:
 class Phrases:
     """The windows of a block of benchmark items: `window` consecutive words, or a shorter item whole."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.vocab: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], list[int]] = {}
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         for name, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 2) for w in words(text)]
             if not ids:
@@ -199,20 +206,18 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([s[new], e[last]], axis=1)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int, unnamed: bool = False) -> list[list[tuple[str, str | None]]]:
-    """The benchmark in blocks of bounded text, read one partition at a time; items without id only if unnamed, as ""."""
-    blocks: list[list[tuple[str, str | None]]] = [[]]
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark's (name, text) in blocks of bounded text, read one partition at a time; at least one, if empty."""
+    block: list[tuple[str | None, str | None]] = []
     size = 0
-    name = F.col("item_id").cast("string")
-    items = benchmark.select((F.coalesce(name, F.lit("")) if unnamed else name).alias("i"), "text").where("i is not null")
-    for r in items.toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
         n = len((r["text"] or "").encode())
-        if blocks[-1] and size + n > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["text"]))
+        if block and size + n > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((r["i"], r["text"]))
         size += n
-    return blocks
+    yield block
 
 
 def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -228,51 +233,113 @@ def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.R
                 start, size, docs = k + 1, 0, []
 
 
-def _search(blocks: list, window: int):
-    """shard -> per document (merged spans, names of the items found), over all blocks of phrases."""
+Found = tuple[np.ndarray, list[str]]
+
+
+def _search(block: Broadcast, window: int) -> Callable[[list[list[bytes]]], list[Found]]:
+    """shard -> per document (merged spans, names of the items found), for a block of phrases that is read once."""
     phrases: list[Phrases] = []
 
-    def find(docs: list[list[bytes]]) -> list[tuple[np.ndarray, list[str]]]:
+    def find(docs: list[list[bytes]]) -> list[Found]:
         if not phrases:
-            phrases.extend(Phrases(x.value, window) for x in blocks)
-        spans: list[np.ndarray] = [np.zeros((0, 2), dtype=np.int64)] * len(docs)
-        names: list[set[str]] = [set() for _ in docs]
-        for p in phrases:
-            for d, (found, items) in enumerate(p.find(docs)):
-                if len(found):
-                    both = np.concatenate([spans[d], found])
-                    spans[d] = merged(both[:, 0], both[:, 1])
-                    names[d].update(p.names[i] for i in items)
-        return [(s, sorted(n)) for s, n in zip(spans, names, strict=True)]
+            phrases.append(Phrases(block.value, window))
+        p = phrases[0]
+        return [(spans, sorted({p.names[i] for i in items} - {None})) for spans, items in p.find(docs)]
 
     return find
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for each row of docs.
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
-    spans: the merged word spans [first, end) inside any occurrence. Null and blank texts have no words. Items
-    without words or id are not searched; items that repeat count once by id. An empty benchmark hits nothing.
-    Rows are neither merged nor dropped; other columns are ignored.
-    """
+
+def _listed(spans: np.ndarray) -> list[dict]:
+    return [{"first": a, "end": b} for a, b in spans.tolist()]
+
+
+def _by_text(docs: DataFrame, blocks: Iterator[list], window: int, at: Folder) -> DataFrame:
+    """(key, names, spans) of the texts that hold a phrase, by the MD5 of the text; one pass over the texts for each block."""
+    sc, parts = ship(docs.sparkSession).sparkContext, []
+    for block in blocks:
+        held = sc.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
+            find = _search(held, window)
+            for part, shard in _shards(batches, "text"):
+                got = find(shard)
+                hit = [k for k, (s, _) in enumerate(got) if len(s)]
+                cols = [pa.array([got[k][1] for k in hit], pa.list_(pa.string())), pa.array([_listed(got[k][0]) for k in hit], _SPANS)]
+                yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(hit, pa.int64())), *cols], names=["key", "names", "spans"])
+
+        found = docs.select("text", F.md5("text").alias("key")).mapInArrow(run, "key string, names array<string>, spans array<struct<first:long,end:long>>")
+        parts.append(at.stored(found.dropDuplicates(["key"])))
+        held.destroy()
+    every = reduce(DataFrame.unionAll, parts)
+    rows = every.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return at.stored(rows.mapInArrow(_united, rows.schema))  # a text has a row for each block at most
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        both = [np.array([(s["first"], s["end"]) for s in x]) for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_listed(merged(x[:, 0], x[:, 1])) for x in both], _SPANS)], names=b.schema.names)
+
+
+def _one_or_more(benchmark: DataFrame, block_bytes: int) -> tuple[list | None, Iterator[list]]:
+    """The only block, or None and all blocks."""
+    blocks = _blocks(benchmark, block_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    return (first, iter(())) if second is None else (None, chain([first, second], blocks))
+
+
+def _reports(docs: DataFrame, find_all: Callable) -> DataFrame:
+    """The result of contamination(); find_all: (part, shard) -> what is found in each document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sc = ship(docs.sparkSession).sparkContext
-    blocks = [sc.broadcast(x) for x in _blocks(benchmark, block_bytes)]
-    form = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _search(blocks, window)
+        find = find_all()
         for part, shard in _shards(batches, "text"):
-            got = find(shard)
+            got = find(part, shard)
             hit = [int((s[:, 1] - s[:, 0]).sum()) for s, _ in got]
             names = [hashlib.sha256(",".join(n).encode()).hexdigest() for _, n in got]
-            spans = [[{"first": a, "end": b} for a, b in s.tolist()] for s, _ in got]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(d) for d in shard], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(n) for _, n in got], pa.int64()), pa.array(names, pa.string()), pa.array([h > 0 for h in hit], pa.bool_()), pa.array(spans, form)],
+                [part.column(0), pa.array([len(d) for d in shard], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(n) for _, n in got], pa.int64()), pa.array(names, pa.string()), pa.array([h > 0 for h in hit], pa.bool_()), pa.array([_listed(s) for s, _ in got], _SPANS)],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,end:long>>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,end:long>>")
+
+
+def _array(spans: list[dict] | None) -> np.ndarray:
+    return np.array([(s["first"], s["end"]) for s in spans or []], dtype=np.int64).reshape(-1, 2)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for each row of docs.
+
+    spans: the merged word spans [first, end) inside any occurrence. Null and blank texts have no words. Items
+    without words are not searched; an item without id counts in all but n_items and items_sha256; items that repeat
+    count once by id. An empty benchmark hits nothing. Rows are neither merged nor dropped; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    only, blocks = _one_or_more(benchmark, block_bytes)
+    rows = docs.select("doc_id", "text")
+    if only is not None:
+        held = ship(spark).sparkContext.broadcast(only)
+
+        def search() -> Callable:
+            find = _search(held, window)
+            return lambda part, shard: find(shard)
+
+        return _reports(rows, search)
+    at = Folder(spark, "leaks")
+    found = few(stored(_by_text(rows, blocks, window, at), "leaks"))
+    at.drop()
+
+    def known() -> Callable:
+        return lambda part, shard: [(_array(s), n or []) for n, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+
+    return _reports(rows.join(found, F.md5("text") == F.col("key"), "left").select("doc_id", "text", "names", "spans"), known)
 
 
 def cut_out(text: str, spans: np.ndarray) -> str:
@@ -293,20 +360,50 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     """docs with every hit span cut out of its text (and n_chars, where it is a column, counted anew).
 
     Items without id are searched too. The cut repeats until no phrase is left, as joining what surrounds a span may form
-    one. A document left
-    without any word goes; one that had none before stays. All other rows and columns stay as they are.
+    one. A document left without any word goes; one that had none before stays. All other rows and columns stay as they are.
     """
-    sc = ship(docs.sparkSession).sparkContext
-    blocks = [sc.broadcast(x) for x in _blocks(benchmark, block_bytes, unnamed=True)]
-    schema = docs.schema
+    spark = docs.sparkSession
+    only, blocks = _one_or_more(benchmark, block_bytes)
+    if only is not None:
+        held = ship(spark).sparkContext.broadcast(only)
+
+        def search() -> Callable:
+            find = _search(held, window)
+            return lambda part, shard: [s for s, _ in find(shard)], lambda text: find([words(text)])[0][0]
+
+        return _cut(docs, search)
+    spans, key = fresh("__spans", docs), fresh("__key", docs)
+    last = None
+    while True:
+        at = Folder(spark, "leaks")
+        found = _by_text(docs, blocks, window, at).select(F.col("key").alias(key), F.col("spans").alias(spans))
+        if found.isEmpty():
+            at.drop()
+            return docs
+
+        def known() -> Callable:
+            return lambda part, shard: [_array(x) for x in part.column(part.num_columns - 1).to_pylist()], lambda text: ()
+
+        path = scratch(spark, "clean")
+        docs = stored(_cut(docs.join(few(found), F.md5("text") == F.col(key), "left").drop(key), known, extra=1), "clean", path)
+        at.drop()
+        if last:
+            discard(spark, last)
+        last, blocks = path, _blocks(benchmark, block_bytes)
+
+
+def _cut(docs: DataFrame, search: Callable, extra: int = 0) -> DataFrame:
+    """docs, without its last `extra` columns, cut. search: the spans of a shard's documents, and of a text that was cut."""
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    schema = StructType(docs.schema.fields[: len(docs.columns) - extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _search(blocks, window)
+        find, again = search()
         for part, shard in _shards(batches, "text"):
-            got = find(shard)
-            hit = [k for k, (s, _) in enumerate(got) if len(s)]
+            got = find(part, shard)
+            part = part.select(range(part.num_columns - extra))
+            hit = [k for k, s in enumerate(got) if len(s)]
             if not hit:
                 yield part
                 continue
@@ -314,10 +411,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
             sizes = part.column(count).to_pylist() if count is not None else []
             gone = set()
             for k in hit:
-                spans = got[k][0]
+                spans = got[k]
                 while len(spans):
                     texts[k] = cut_out(texts[k], spans)
-                    spans = find([words(texts[k])])[0][0]
+                    spans = again(texts[k])
                 if not words(texts[k]):
                     gone.add(k)
                 if sizes:
