@@ -4,7 +4,9 @@ Base rules count words, symbols, repeated lines and repeated three-word windows.
 how public vocabularies take a text apart: characters per token under each vocabulary, the share of byte-fallback
 tokens and the entropy of the token distribution. Documents of one language and like length (octaves of
 tokens) form a group; a document outside its group's band for any measure is rejected. Bands are quartile
-fences over all documents that pass the base rules, from histograms of bounded size.
+fences over all documents that pass the base rules, from histograms of bounded size. A group's histogram is
+drawn towards that of all languages, and that one's towards that of all lengths, as by WEIGHT documents more, so
+a band changes smoothly with a group's size and every document has one.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ SYMBOLS = b"#*$%&|<>"
 BLANKS = b"\x09\x0a\x0b\x0c\x0d\x20"
 MEASURES = ("piece_chars", "byte_chars", "fallback", "entropy")
 BINS = 200  # for each unit of a measure
+WEIGHT = 100.0
 
 
 class Fertility:
@@ -119,53 +122,46 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def bands(rows: DataFrame, fence: float = 3.0, least: float = 0.12, min_docs: int = 100) -> DataFrame:
-    """(lang, octave, m, low, high): the band of each measure, by its place in MEASURES, for each group of min_docs rows or more.
+def bands(rows: DataFrame, fence: float = 3.0, least: float = 0.12, weight: float = WEIGHT) -> DataFrame:
+    """(lang, octave, m, low, high): the band of each measure, by its place in MEASURES, for each group of rows.
 
-    Entropy grows with length, so its groups are a language and an octave of tokens; the others' octave is -1. '*'
-    stands for all languages. A band reaches `fence` interquartile ranges beyond the quartiles and at least `least`
-    of the median beyond it. Measures are binned to 1/200, so the histograms are bounded and the bands do not depend
-    on the rows' order.
+    Entropy grows with length, so its groups are a language and an octave of tokens; the others' octave is -1. A band
+    reaches `fence` interquartile ranges beyond the quartiles and at least `least` of the median beyond it. Measures are
+    binned to 1/200, so the histograms are bounded and the bands do not depend on the rows' order.
     """
-    values = F.array(*[F.struct(F.lit(k).alias("m"), F.floor(F.col(x) * BINS).cast("long").alias("bin"), (F.col("octave") if x == "entropy" else F.lit(-1)).alias("o")) for k, x in enumerate(MEASURES)])
-    hist = rows.select("lang", F.explode(values).alias("v")).groupBy("lang", "v.o", "v.m", "v.bin").agg(F.count("*").alias("n"))
-    hist = hist.select(F.explode(F.array("lang", F.lit("*"))).alias("lang"), F.col("o").alias("octave"), "m", "bin", "n").groupBy("lang", "octave", "m", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("lang", "octave", "m")
-    cum = hist.withColumn("total", F.sum("n").over(group)).where(F.col("total") >= min_docs)
-    cum = cum.withColumn("upto", F.sum("n").over(group.orderBy("bin")))
-    quart = cum.groupBy("lang", "octave", "m").agg(*[F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))).alias(x) for x, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    values = F.array(*[F.struct(F.lit(k).alias("m"), F.floor(F.col(x) * BINS).cast("long").alias("bin"), (F.col("octave") if x == "entropy" else F.lit(-1)).alias("octave")) for k, x in enumerate(MEASURES)])
+    hist = stored(rows.select("lang", F.explode(values).alias("v")).groupBy("lang", "v.octave", "v.m", "v.bin").agg(F.count("*").alias("n")), "histograms")
+    share = hist.groupBy("m", "bin").agg(F.sum("n").alias("n"))
+    share = share.select("m", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("m"))).alias("p"))
+    for group in (["octave", "m"], ["lang", "octave", "m"]):  # each level's shares are those of the level above, with its own counts
+        own = hist.groupBy(*group, "bin").agg(F.sum("n").alias("n"))
+        both = own.select(*group).distinct().join(share, [c for c in share.columns if c in group]).join(own, [*group, "bin"], "left")
+        n = F.coalesce("n", F.lit(0))
+        share = both.select(*group, "bin", ((n + weight * F.col("p")) / (F.sum(n).over(Window.partitionBy(*group)) + weight)).alias("p"))
+    upto = share.withColumn("upto", F.sum("p").over(Window.partitionBy(*group).orderBy("bin")))
+    quart = upto.groupBy(*group).agg(*[F.min(F.when(F.col("upto") >= q - 1e-9, F.col("bin"))).alias(x) for x, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
     reach = fence * (F.col("q3") - F.col("q1") + 1)
     low = F.least(F.col("q1") - reach, F.col("q2") * (1 - least)) / BINS
     high = F.greatest(F.col("q3") + 1 + reach, F.col("q2") * (1 + least) + 1) / BINS
     return quart.select("lang", "octave", "m", low.alias("low"), high.alias("high"))
 
 
-def judged(docs: DataFrame, fence: float = 3.0, least: float = 0.12, min_docs: int = 100) -> DataFrame:
+def judged(docs: DataFrame, fence: float = 3.0, least: float = 0.12, weight: float = WEIGHT) -> DataFrame:
     """One row for each row of docs: doc_id, the base counts, base_failed, kept, the measures and `outside`.
 
-    outside names the measures beyond their band: the band of the document's language and octave of tokens, or of
-    all languages where that group is small; without either, none is outside. Null and blank texts have no words and
-    so fail the base rules. Repeated rows and null ids are kept; a null language is 'und'.
+    outside names the measures beyond the band of the document's language (and octave of tokens, for entropy); a group
+    of which no document passes the base rules has no band. Null and blank texts have no words and so fail the base
+    rules. Repeated rows and null ids are kept; a null language is 'und'. An empty table gives no rows.
     """
     rows = stored(measured(docs), "fertility")
     octave = F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")
     rows = rows.withColumn("octave", octave).withColumn("base_failed", base_failed())
-    known = stored(bands(rows.where("not base_failed"), fence, least, min_docs), "bands")
-    everyone = {(r["m"], r["octave"]): r for r in known.where("lang = '*'").collect()}  # a row for each octave and measure
+    known = stored(bands(rows.where("not base_failed"), fence, least, weight), "bands")
     band = F.struct("low", "high")
-    own = known.where("lang <> '*'")
-    general = own.where("octave = -1").groupBy("lang").agg(*[F.max(F.when(F.col("m") == k, band)).alias(f"b_{x}") for k, x in enumerate(MEASURES) if x != "entropy"])
-    entropy = own.where("octave >= 0").select("lang", "octave", band.alias("b_entropy"))
+    general = known.where("octave = -1").groupBy("lang").agg(*[F.max(F.when(F.col("m") == k, band)).alias(f"b_{x}") for k, x in enumerate(MEASURES) if x != "entropy"])
+    entropy = known.where("octave >= 0").select("lang", "octave", band.alias("b_entropy"))
     got = rows.join(general, "lang", "left").join(entropy, ["lang", "octave"], "left")
-    off = []
-    for k, x in enumerate(MEASURES):
-        low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
-        for (m, octave), r in everyone.items():
-            if m == k:
-                here = F.col("octave") == octave if x == "entropy" else F.lit(True)
-                low, high = F.when(here, F.lit(r["low"])).otherwise(low), F.when(here, F.lit(r["high"])).otherwise(high)
-        low, high = F.coalesce(F.col(f"b_{x}")["low"], low), F.coalesce(F.col(f"b_{x}")["high"], high)
-        off.append(F.when((F.col(x) < low) | (F.col(x) > high), F.lit(x)))
+    off = [F.when((F.col(x) < F.col(f"b_{x}.low")) | (F.col(x) > F.col(f"b_{x}.high")), F.lit(x)) for x in MEASURES]
     got = got.withColumn("outside", F.array_compact(F.array(*off)))
     kept = ~F.col("base_failed") & (F.size("outside") == 0)
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *MEASURES, "n_tokens", "outside")
