@@ -9,13 +9,20 @@ on a character carries the change in the number of tokens. States are compiled a
 A text is cut into chunks where a word mark follows another character. No token spans such a cut, so whatever
 state enters a chunk, its first transition leads to the same state. A chunk's map from entering states to (leaving
 state, count) is therefore constant, and the maps of a text compose by adding counts, in a prefix scan over a batch.
+
+A long text is also cut into pieces of a fixed size, spaces or not, which are counted in parallel. A piece's map is not
+constant. It is held as the piece's run from the start state and the piece: another entering state is run along until
+both are in the same state, from where on the map is known; runs of one character, where that may never happen, are run
+to the end. The maps of a text's pieces are composed in order, each applied to the state that the one before it leaves.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +34,8 @@ from ._common import ship, vocabulary_path
 MARK = "▁"
 MAX_CHUNKS = 400_000
 MAX_STATES = 300_000
+LONG = 1 << 20  # characters from which on a text is cut into pieces
+PIECE = 1 << 18
 
 
 class State(dict):
@@ -132,6 +141,23 @@ class Transducer:
             total += d
         return st, total
 
+    def piece_map(self, piece: str) -> PieceMap:
+        if len(self.states) >= MAX_STATES:
+            self._forget()
+        leaving, count = self.run(piece)
+        return PieceMap(piece, (leaving.live, leaving.lasts, leaving.counts), count)
+
+    def apply(self, piece: PieceMap, entering: State) -> tuple[State, int]:
+        """A piece's map at an entering state: (leaving state, tokens)."""
+        here, known, more = entering, self.start, 0
+        for char in piece.text:
+            if here is known:
+                return self.state(*piece.leaving), more + piece.count
+            here, n = here[char]
+            known, m = known[char]
+            more += n - m
+        return here, more + piece.count
+
     def chunk_count(self, chunk: str) -> int:
         got = self.chunks.get(chunk)
         if got is None:
@@ -173,6 +199,22 @@ class Transducer:
         return np.diff(scan[np.array([0, *ends], dtype=np.int64)])
 
 
+@dataclass
+class PieceMap:
+    """The map of a piece of a text: the piece, and where and with how many tokens its run from the start state ends."""
+
+    text: str
+    leaving: tuple
+    count: int
+
+
+def pieces(text: str, size: int = 0) -> list[str]:
+    """A text as the transducer reads it, a mark for each space and one before it, cut every `size` characters."""
+    size = size or PIECE
+    marked = MARK + text.replace(" ", MARK)
+    return [marked[k : k + size] for k in range(0, len(marked), size)]
+
+
 _compiled: dict[str, Transducer] = {}
 
 
@@ -186,8 +228,8 @@ def transducer(model_file: str) -> Transducer:
 def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs; a null text counts as empty.
 
-    vocabulary: the file's name among the public tokenizers, looked up on each executor. Rows are neither merged
-    nor dropped; other columns are ignored.
+    vocabulary: the file's name among the public tokenizers, looked up on each executor. Texts of LONG characters or
+    more are counted in pieces. Rows are neither merged nor dropped, and come in no order; other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -202,5 +244,46 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit
 
     ship(docs.sparkSession)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    out = docs.select("doc_id", "text", size).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    long, rows = F.coalesce(F.char_length("text") >= LONG, F.lit(False)), docs.select("doc_id", "text", size)
+    out = rows.where(~long).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").unionAll(_in_pieces(rows.where(long), vocabulary))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def _in_pieces(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of rows (doc_id, text, n_bytes): the pieces are dealt out to all tasks, mapped, and composed by text."""
+    head = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1)
+                for no, piece in enumerate(pieces(row.column(1)[0].as_py())):
+                    yield pa.RecordBatch.from_arrays([row.column(0), row.column(2), row.column(3), pa.array([no], pa.int32()), pa.array([piece])], names=["doc_id", "n_bytes", "row", "no", "piece"])
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fst = transducer(vocabulary_path(vocabulary))
+        for b in batches:
+            got = [fst.piece_map(x.as_py()) for x in b.column(4)]
+            cols = [pa.array([json.dumps(m.leaving) for m in got], pa.string()), pa.array([m.count for m in got], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "leaving", "count"])
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fst, last, state, total = transducer(vocabulary_path(vocabulary)), None, None, 0
+        one = lambda: pa.RecordBatch.from_arrays([last.column(0), last.column(1), pa.array([total], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1)
+                if last is None or row.column(2)[0] != last.column(2)[0]:
+                    if last is not None:
+                        yield one()
+                    state, total = fst.start, 0
+                live, lasts, counts = json.loads(row.column(5)[0].as_py())
+                state, n = fst.apply(PieceMap(row.column(4)[0].as_py(), (live, tuple(lasts), tuple(counts)), row.column(6)[0].as_py()), state)
+                last, total = row, total + n
+        if last is not None:
+            yield one()
+
+    keyed = f"{head}, row long, no int, piece string"
+    cuts = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, keyed)
+    mapped = cuts.repartition("row", "no").mapInArrow(maps, f"{keyed}, leaving string, count long")
+    return mapped.repartition("row").sortWithinPartitions("row", "no").mapInArrow(compose, f"{head}, n_tokens long")
