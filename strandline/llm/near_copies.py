@@ -1,19 +1,21 @@
 """SimHash near-dedup at a five-word Jaccard similarity of 0.8: wide fingerprints, deletion variants, an exact check.
 
 At a similarity of 0.8 two fingerprints differ in about 15 % of their bits, too many for a few segments of 64 bits. So a
-text's distinct shingles vote on 1,024 bits, seen as a square of 32 x 32, whose 32 rows and 32 columns are the segments.
+text's distinct shingles vote on 1,024 bits, seen as a square of 32 x 32, whose rows, columns and (broken) diagonals are the
+segments.
 Two texts are compared if any segment of theirs differs by at most one bit: every segment is indexed by its one-wildcard
 variants. A segment travels twice, once by its upper and once by its lower half; whatever bit differs, one of the halves
 is equal, and the variants of the other half are met inside the group of that half, without a row for each of them.
 
-What meets is verified. Fingerprints too far apart for 0.8 by five standard deviations are dropped and those as surely
-nearer are links; in between, and for sets of fewer than 64 shingles, the shingles of both texts decide. A pair of
-similarity 0.8 shares no variant with a probability of about one in nine, of 0.85 in a hundred, of 0.9 in 10,000;
-what counts is whether a text is joined to any of its class, and the README has the share that brute force finds missed.
+What meets is verified. Fingerprints farther apart than those of 0.8 by 3.5 standard deviations are dropped and those nearer
+by five are links; in between, and for sets of fewer than 64 shingles, the shingles of both texts decide. A pair of
+similarity 0.8 shares no variant with a probability of about 4 %, of 0.85 of 0.1 %; what counts is whether a text is
+joined to any of its class, and the README has the share that brute force finds missed.
 
-Work is on distinct shingle sets, so copies never multiply. A variant with more than `dense` sets is first compared with
-its smallest set only, which joins a large group in linear work; where that leaves it in several classes, the pairs of
-sets from different classes are compared too, so no pair that meets is lost.
+Work is on distinct shingle sets, so copies never multiply. A variant with more than two sets is first met by one set for
+each of its two segment values, and each value's sets by that one, which joins a large group in linear work. Then the sets
+of such variants meet again with their classes and fingerprints: first each with its nearest set of another class, then
+with all of other classes that fingerprints allow, so no pair that meets is lost.
 """
 
 from __future__ import annotations
@@ -27,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Folder, few, ship, stored
+from ._common import Folder, few, fresh, ship, stored
 from ._graph import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SIDE = 32
 BITS = SIDE * SIDE
+SEGMENTS = 3 * SIDE
+BLOCK = 1 << 22  # pairs that are compared at once
 EXACT_BELOW = 64  # shingles; the bits of smaller sets are no normal approximation
 HELD = 1 << 20  # rows of one half's group beyond which long runs are no longer held
 _DRAWN = np.random.default_rng(20240501).integers(0, 1 << 64, (2, BITS // 64), dtype=np.uint64) | np.uint64(1)
+_DIAGONALS = np.add.outer(np.arange(SIDE), np.arange(SIDE)) % SIDE * SIDE + np.arange(SIDE)  # into the columns: row i of diagonal k has bit (k + i) % 32
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()  # a byte's bits, one in each byte
 
 
@@ -72,22 +77,22 @@ def fingerprint(s: np.ndarray) -> np.ndarray:
 
 
 def segments(fp: np.ndarray) -> np.ndarray:
-    """The rows and the columns of a fingerprint's square, as 64 integers of 32 bits."""
+    """The rows, columns and diagonals of a fingerprint's square, as integers of 32 bits."""
     square = np.unpackbits(fp).reshape(SIDE, SIDE)
-    return np.packbits(np.stack([square, square.T]), axis=2).view(">u4").reshape(2 * SIDE).astype(np.int64)
+    return np.packbits(np.stack([square, square.T, square.T.ravel()[_DIAGONALS]]), axis=2).view(">u4").reshape(SEGMENTS).astype(np.int64)
 
 
 def half_keys(fp: np.ndarray) -> np.ndarray:
     """Two keys for each segment: its number and side, the half that groups (16 bits) and the half that may differ (16 bits)."""
-    v, at = segments(fp), np.arange(2 * SIDE, dtype=np.int64) << 33
+    v, at = segments(fp), np.arange(SEGMENTS, dtype=np.int64) << 33
     return np.concatenate([at | v, at | (1 << 32) | (v & 0xFFFF) << 16 | v >> 16])
 
 
-def distances(similarity: float, spread: float = 5.0) -> tuple[int, int]:
-    """Differing bits up to which two sets are surely that similar, and beyond which they surely are not."""
+def distances(similarity: float, sure: float = 5.0, allowed: float = 3.5) -> tuple[int, int]:
+    """Differing bits up to which two sets are surely that similar, and beyond which they are not; in standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    reach = spread * math.sqrt(p * (1 - p) / BITS)
-    return int((p - reach) * BITS), int((p + reach) * BITS) + 1
+    deviation = math.sqrt(p * (1 - p) / BITS)
+    return int((p - sure * deviation) * BITS), int((p + allowed * deviation) * BITS) + 1
 
 
 def with_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -113,86 +118,68 @@ def text_hash():
 
 
 def _keyed(sets: DataFrame) -> DataFrame:
-    """(key, id): the half keys of each set."""
+    """(key, id) and the other columns, if there are any besides the fingerprint: the half keys of each set (id, fp, ..)."""
+    more = sets.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                keys = [half_keys(np.frombuffer(x.as_py(), dtype=np.uint8)) for x in b.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(b.column(0).to_numpy(), 4 * SIDE))], names=["key", "id"])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                keys = pa.array(np.concatenate([half_keys(np.frombuffer(x.as_py(), dtype=np.uint8)) for x in part.column(1)]))
+                each = pa.array(np.repeat(np.arange(part.num_rows), 2 * SEGMENTS))
+                cols = [part.column(k).take(each) for k in (range(part.num_columns) if more else [0])]
+                yield pa.RecordBatch.from_arrays([keys, *cols], names=["key", "id", *(["fp", *more] if more else [])])
 
-    return sets.select("id", "fp").mapInArrow(run, "key long, id long")
+    kinds = [f"{c} {sets.schema[c].dataType.simpleString()}" for c in (["fp", *more] if more else [])]
+    return sets.mapInArrow(run, ", ".join(["key long, id long", *kinds]))
 
 
 class _Meeting:
-    """Pairs (a, b) and members (g, a) of the variants met in rows (key, id) that come sorted."""
+    """Pairs (a, b) of the variants met in rows (key, id) that come sorted; members of variants of more than two sets as (a, a)."""
 
-    def __init__(self, dense: int):
-        self.dense, self.out = dense, []
-        self.long: set[int] = set()  # keys of the open group whose members have been put out
-
-    def members(self, g: np.ndarray, a: np.ndarray) -> None:
-        self.out.append((g, a, np.zeros(0, dtype=np.int64)))
+    def __init__(self):
+        self.out: list[tuple[np.ndarray, np.ndarray]] = []
+        self.first: dict[int, int] = {}  # of the open group: the first set of each long run that has been put out
 
     def pairs(self, x: np.ndarray, y: np.ndarray) -> None:
-        self.out.append((np.zeros(0, dtype=np.int64), np.maximum(x, y), np.minimum(x, y)))
+        self.out.append((np.maximum(x, y), np.minimum(x, y)))
 
     def shorten(self, key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A group too large to hold: the members of long runs go out under all their variants; dense + 1 stand for them."""
+        """A group too large to hold: the sets of a run meet its first one here, and two of them stand for it."""
         runs, start, count = np.unique(key, return_index=True, return_counts=True)
         keep = np.ones(len(key), dtype=bool)
         for k, s, n in zip(runs.tolist(), start.tolist(), count.tolist(), strict=True):
-            if n > self.dense:
-                rest = ids[s + self.dense + 1 : s + n] if k in self.long else ids[s : s + n]
-                for g in ([k] if not k >> 32 & 1 else []) + [k & ~(1 << j) | (j + 1) << 40 for j in range(16)]:
-                    self.members(np.full(len(rest), g), rest)
-                self.long.add(k)
-                keep[s + self.dense + 1 : s + n] = False
+            if n > 2:
+                own = ids[s : s + n]
+                self.pairs(own, np.full(n, self.first.setdefault(k, int(own[0]))))
+                self.pairs(own, own)
+                keep[s + 2 : s + n] = False
         return key[keep], ids[keep]
 
     def groups(self, key: np.ndarray, ids: np.ndarray) -> None:
         """All variants of whole groups."""
         runs, start, count = np.unique(key, return_index=True, return_counts=True)
         upper = runs >> 32 & 1 == 0  # equal segments meet in either half; once is enough
-        self._within(runs, start, count, ids, upper & (count > 1))
+        place, of = _spread(start, np.where(upper & (count > 1), count, 0))
+        self.pairs(ids[place], ids[start[of]])
+        marked = upper & (count > 2)
         for j in range(16):
             low = np.flatnonzero(runs >> j & 1 == 0)
             to = np.searchsorted(runs, runs[low] | 1 << j)
             met = (to < len(runs)) & (runs[np.minimum(to, len(runs) - 1)] == runs[low] | 1 << j)
             x, y = low[met], to[met]
-            many = count[x] + count[y] > self.dense
-            for side in (x[many], y[many]):
-                side_g = (runs[side] & ~(1 << j)) | (j + 1) << 40
-                if self.long:  # their members are out already
-                    side_g, side = side_g[fresh := ~np.isin(runs[side], list(self.long))], side[fresh]
-                at, of = _spread(start[side], count[side])
-                self.members(side_g[of], ids[at])
-            x, y = x[~many], y[~many]
-            at, of = _spread(start[x], count[x])
-            bt, bf = _spread(start[y][of], count[y][of])
-            self.pairs(ids[at][bf], ids[bt])
-        self.long.clear()
-
-    def _within(self, runs: np.ndarray, start: np.ndarray, count: np.ndarray, ids: np.ndarray, which: np.ndarray) -> None:
-        few_, many = np.flatnonzero(which & (count <= self.dense)), np.flatnonzero(which & (count > self.dense))
-        if self.long:
-            many = many[~np.isin(runs[many], list(self.long))]
-        at, of = _spread(start[many], count[many])
-        self.members(runs[many][of], ids[at])
-        for n in np.unique(count[few_]).tolist():
-            first = start[few_[count[few_] == n]]
-            p, q = np.triu_indices(n, 1)
-            self.pairs(ids[(first[:, None] + p).ravel()], ids[(first[:, None] + q).ravel()])
+            self.pairs(ids[start[x]], ids[start[y]])
+            many = count[x] + count[y] > 2
+            marked[x[many]] = marked[y[many]] = True
+        place, _ = _spread(start, np.where(marked, count, 0))
+        self.pairs(ids[place], ids[place])
+        self.first.clear()
 
     def taken(self) -> pa.RecordBatch:
-        g = np.concatenate([np.concatenate([g, np.full(len(b), -1)]) for g, _, b in self.out] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
-        a = np.concatenate([a for _, a, _ in self.out] or [np.zeros(0, dtype=np.int64)])
-        b = np.concatenate([np.concatenate([np.zeros(len(g), dtype=np.int64), b]) for g, _, b in self.out] or [np.zeros(0, dtype=np.int64)])
+        a, b = (np.concatenate([x[k] for x in self.out] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
         self.out = []
-        if len(a):
-            rows = np.unique(np.stack([g, a, b], axis=1), axis=0) if len(a) < HELD else np.stack([g, a, b], axis=1)
-            g, a, b = rows.T
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (g, a, b)], names=["g", "a", "b"])
+        rows = np.unique(np.stack([a, b], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows.T], names=["a", "b"])
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,11 +188,11 @@ def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + start[of], of
 
 
-def _met(sets: DataFrame, dense: int) -> DataFrame:
-    """(g, a, b): with g = -1 a pair of sets that meet in a variant, else a member a of the variant g, which has many."""
+def _met(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets that meet in a variant, and the members of variants with more than two as (a, a)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meet = _Meeting(dense)
+        meet = _Meeting()
         key, ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for b in batches:
             key, ids = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([ids, b.column(1).to_numpy()])
@@ -222,12 +209,90 @@ def _met(sets: DataFrame, dense: int) -> DataFrame:
             meet.groups(key, ids)
         yield meet.taken()
 
-    keyed = _keyed(sets).repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "id")
-    return keyed.mapInArrow(run, "g long, a long, b long")
+    keyed = _keyed(sets.select("id", "fp")).repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "id")
+    return keyed.mapInArrow(run, "a long, b long")
+
+
+class _Family:
+    """Pairs (x, y, bits) of different classes that meet in a half key's group and whose sizes and fingerprints allow the similarity."""
+
+    def __init__(self, similarity: float, nearest: bool):
+        self.similarity, self.nearest, self.far = similarity, nearest, distances(similarity)[1]
+
+    def group(self, key: np.ndarray, ids: np.ndarray, root: np.ndarray, size: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, of, count = np.unique(root, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return
+        most = count.argmax()
+        rare = np.flatnonzero(of != most)  # pairs of different classes have an end here
+        low, lower = key & 0xFFFF, bool(key[0] >> 32 & 1)
+        step = max(1, BLOCK // len(ids))
+        for at in range(0, len(rare), step):
+            i = rare[at : at + step]
+            x = low[i, None] ^ low[None, :]
+            meets = (x & (x - 1) == 0) & (of[i, None] != of[None, :])
+            if lower:
+                meets &= x != 0  # equal segments meet in the upper half's group
+            p, q = np.nonzero(meets)
+            p = i[p]
+            small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
+            fits = small >= self.similarity * large - 1e-9
+            p, q, small = p[fits], q[fits], small[fits]
+            bits = np.bitwise_count(fps[p] ^ fps[q]).sum(axis=1, dtype=np.int64)
+            keep = (bits <= self.far) | (small < EXACT_BELOW)
+            if not self.nearest:
+                keep &= (ids[p] > ids[q]) | (of[q] == most)
+            p, q, bits = p[keep], q[keep], bits[keep]
+            if not len(p):
+                continue
+            if self.nearest:
+                order = np.lexsort((bits, p))
+                order = order[np.unique(p[order], return_index=True)[1]]
+            else:
+                order = np.flatnonzero(self._first(fps[p], fps[q]) == key[0] >> 33)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p[order]]), pa.array(ids[q[order]]), pa.array(bits[order])], names=["x", "y", "bits"])
+
+    @staticmethod
+    def _first(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The first segment in which two sets meet: there, and only there, their pair is put out."""
+        out = [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(x), 4096):
+            square = np.unpackbits((x[at : at + 4096] ^ y[at : at + 4096]).view(np.uint8), axis=1).reshape(-1, SIDE, SIDE)
+            diagonal = square.transpose(0, 2, 1).reshape(-1, BITS)[:, _DIAGONALS]
+            out.append((np.concatenate([square.sum(axis=2), square.sum(axis=1), diagonal.sum(axis=2)], axis=1) <= 1).argmax(axis=1))
+        return np.concatenate(out)
+
+
+def _across(sets: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """(x, y, bits) of sets (id, fp, root, size) of different classes that meet; only each one's nearest in a group, if so asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = _Family(similarity, nearest)
+        held: list[np.ndarray] = []
+
+        def done(upto: int) -> Iterator[pa.RecordBatch]:
+            cuts = [0, *(np.flatnonzero(np.diff(held[0][:upto] >> 16)) + 1).tolist(), upto]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a + 1:
+                    yield from work.group(*(x[a:b] for x in held))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [b.column(k).to_numpy() for k in range(4)] + [np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            cut = int(np.searchsorted(held[0], held[0][-1] >> 16 << 16))
+            yield from done(cut)
+            held = [x[cut:] for x in held]
+        if held:
+            yield from done(len(held[0]))
+
+    keyed = _keyed(sets.select("id", "fp", "root", "size")).repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "id")
+    return keyed.select("key", "id", "root", "size", "fp").mapInArrow(run, "x long, y long, bits long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, sure) of the pairs whose sizes and fingerprints allow that similarity; sure: no need to look at the texts."""
+    """(a, b, bits, sure) of the pairs whose sizes and fingerprints allow that similarity; sure: no need to look at the texts."""
     near, far = distances(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,18 +300,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             if not t.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), dtype=np.uint64).reshape(t.num_rows, -1) for k in (2, 3))
-            d = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            bits = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             large = t.column(4).to_numpy(zero_copy_only=False)
-            out = pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(large & (d <= near))], names=["a", "b", "sure"])
-            yield out.filter(pa.array(~large | (d <= far)))
+            out = pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(bits), pa.array(large & (bits <= near))], names=["a", "b", "bits", "sure"])
+            yield out.filter(pa.array(~large | (bits <= far)))
 
     x = sets.select(F.col("id").alias("a"), F.col("fp").alias("x"), F.col("size").alias("n"))
     y = sets.select(F.col("id").alias("b"), F.col("fp").alias("y"), F.col("size").alias("m"))
     both = pairs.join(x, "a").join(y, "b").where(f"least(n, m) >= {similarity} * greatest(n, m) - 1e-9")
-    return both.select("a", "b", "x", "y", F.expr(f"least(n, m) >= {EXACT_BELOW}").alias("large")).mapInArrow(run, "a long, b long, sure boolean")
+    return both.select("a", "b", "x", "y", F.expr(f"least(n, m) >= {EXACT_BELOW}").alias("large")).mapInArrow(run, "a long, b long, bits long, sure boolean")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, shingle: int, similarity: float, at: Folder) -> DataFrame:
+def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: float, at: Folder) -> DataFrame:
     """The pairs (a, b) of set digests whose shingles are that similar, by one text of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,54 +321,51 @@ def _checked(pairs: DataFrame, docs: DataFrame, marked: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    one = marked.join(ends, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "th")).alias("w"))
-    one = few(at.stored(one.select(F.col("w.doc_id").alias("__i"), F.col("w.th").alias("__h"), "id")))
+    one = few(at.stored(sets.select("w.doc_id", "w.th", "id").join(ends, "id", "left_semi").withColumnsRenamed({"doc_id": "__i", "th": "__h"})))
     rows = docs.select("doc_id", "text", text_hash().alias("__t")).join(one, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__h")))
     texts = at.stored(rows.groupBy("id").agg(F.any_value("text").alias("text")))
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _classes(edges: DataFrame, at: Folder) -> DataFrame:
     return at.stored(connected_components(edges).withColumnRenamed("node", "id"))
 
 
+def classes(sets: DataFrame, docs: DataFrame, at: Folder, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, root) of all sets that are linked to another; sets: id, size, fp and, as w, the doc_id and th of one text of each, stored."""
+    near = distances(similarity)[0]
+    met = at.stored(_met(sets.where("size > 0")))
+    links = at.stored(_verified(met.where("a <> b").distinct(), sets, similarity))
+    unsure = links.where("not sure")
+    nearest = at.stored(unsure.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("w")).select("a", "w.b"))
+    edges = at.stored(links.where("sure").select("a", "b").unionAll(_checked(nearest, docs, sets, shingle, similarity, at)))
+    roots = _classes(edges, at)
+    family = at.stored(met.where("a = b").select(F.col("a").alias("id")).distinct())
+    for last in (False, True):
+        placed = sets.join(family, "id", "left_semi").join(roots, "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root"), "size")
+        found = at.stored(_across(at.stored(placed), similarity, nearest=not last))
+        if not last:
+            found = found.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("w")).select("x", "w.y", "w.bits")
+        found = found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), "bits")
+        if last:  # and what met at first, was left open and is still apart
+            found = found.unionAll(_apart(unsure.select("a", "b", "bits").join(nearest, ["a", "b"], "left_anti"), roots))
+        n, m = (sets.select(F.col("id").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
+        sized = found.distinct().join(n, "a").join(m, "b")
+        found = at.stored(sized.select("a", "b", F.expr(f"bits <= {near} and least(na, nb) >= {EXACT_BELOW}").alias("sure")))
+        new = found.where("sure").select("a", "b").unionAll(_checked(found.where("not sure"), docs, sets, shingle, similarity, at))
+        edges = edges.unionAll(at.stored(new))
+        roots = _classes(edges, at)
+    return roots
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different classes so far."""
+    """The pairs (a, b, ..) whose ends are in different classes so far."""
     p, q = (roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    return pairs.join(p, "a", "left").join(q, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-
-
-def classes(marked: DataFrame, docs: DataFrame, at: Folder, shingle: int = SHINGLE, similarity: float = SIMILARITY, dense: int = 16) -> DataFrame:
-    """(id, root) of all sets that are linked to another; marked is from with_sets(docs), stored."""
-    sets = at.stored(marked.where("size > 0").groupBy("id").agg(F.any_value("size").alias("size"), F.any_value("fp").alias("fp")))
-    met = at.stored(_met(sets, dense))
-    many = met.where("g >= 0").select("g", F.col("a").alias("id"))
-    hubs = at.stored(many.groupBy("g").agg(F.min("id").alias("b")))
-    stars = many.join(hubs, "g").where("id <> b").select(F.col("id").alias("a"), "b")
-    pairs = at.stored(met.where("g < 0").select("a", "b").unionAll(stars).distinct())
-    links = at.stored(_verified(pairs, sets, similarity))
-    sure = links.where("sure").select("a", "b")
-    open_ = at.stored(_apart(links.where("not sure").select("a", "b"), _classes(sure, at)))
-    edges = at.stored(sure.unionAll(_checked(open_, docs, marked, shingle, similarity, at)))
-    roots = _classes(edges, at)
-    if hubs.isEmpty():
-        return roots
-    placed = at.stored(many.distinct().join(roots, "id", "left").select("g", "id", F.coalesce("root", "id").alias("root")))
-    split = at.stored(placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g"))
-    if split.isEmpty():
-        return roots
-    x = placed.join(split, "g", "left_semi")
-    y = x.select(F.col("g").alias("h"), F.col("id").alias("b"), F.col("root").alias("other"))
-    cross = x.join(y, (F.col("g") == F.col("h")) & (F.col("id") > F.col("b")) & (F.col("root") != F.col("other")))
-    rest = at.stored(cross.select(F.col("id").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-    links = at.stored(_verified(rest, sets, similarity))
-    sure = at.stored(edges.unionAll(links.where("sure").select("a", "b")))
-    open_ = at.stored(_apart(links.where("not sure").select("a", "b"), _classes(sure, at)))
-    return _classes(sure.unionAll(_checked(open_, docs, marked, shingle, similarity, at)), at)
-
-
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, dense: int = 16) -> DataFrame:
+    return pairs.join(p, "a", "left").join(q, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select(*pairs.columns)
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay when each class of near copies keeps one, with all their columns.
 
     Texts of `similarity` or more that meet are linked, and a class is all that links reach; texts without words (null
@@ -314,17 +376,17 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     spark = docs.sparkSession
     at = Folder(spark, "near-copies")
     marked = at.stored(with_sets(docs, shingle))
-    roots = classes(marked, docs, at, shingle, similarity, dense)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    placed = marked.groupBy("id").agg(F.min(order).alias("w")).join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "w")
+    sets = at.stored(marked.groupBy("id").agg(F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.min(order).alias("w")))
+    roots = classes(sets, docs, at, shingle, similarity)
+    placed = sets.select("id", "w").join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "w")
     best = placed.groupBy("root").agg(F.min("w").alias("w"))
-    chosen = stored(best.select(F.col("w.doc_id").alias("__i"), F.col("w.th").alias("__h")), "stay")
-    ours = F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__h"))
-    repeated = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__h")), "left_semi").count() > chosen.count()
+    i, h, r = (fresh(x, docs) for x in ("__i", "__h", "__r"))
+    chosen = stored(best.select(F.col("w.doc_id").alias(i), F.col("w.th").alias(h)), "stay")
+    repeated = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col("th") == F.col(h)), "left_semi").count() > chosen.count()
     at.drop()
-    names = [f"`{c}`" for c in docs.columns]
-    kept = docs.withColumn("__t", text_hash()).join(chosen, ours, "left_semi")
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(i)) & (text_hash() == F.col(h)), "left_semi")
     if repeated:
-        first = Window.partitionBy("doc_id", "__t").orderBy(F.lit(0))
-        kept = kept.withColumn("__r", F.row_number().over(first)).where("__r = 1")
-    return kept.select(*names)
+        first = Window.partitionBy("doc_id", text_hash()).orderBy(F.lit(0))
+        kept = kept.withColumn(r, F.row_number().over(first)).where(F.col(r) == 1).drop(r)
+    return kept
