@@ -9,7 +9,7 @@ import pytest
 import public_tokenizers
 from strandline.llm import crf_quality, decontaminate, fertility, simhash, toxicity, url_filter
 from strandline.llm.sharding import dealt, rebalanced
-from strandline.llm.token_counts import Transducer
+from strandline.llm.token_counts import Transducer, pieces
 from strandline.llm.token_files import Encoder, WaveletMatrix, pack, unpack
 
 
@@ -153,6 +153,21 @@ def test_transducer_counts_as_the_library(fst):
     assert fst.counts(texts).tolist() == [len(sp.encode(t or "")) for t in texts]
 
 
+def test_piece_maps_compose(fst):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(9)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randint(1, 60))) for _ in range(300)] + ["a" * 500, " " * 100, "=-" * 90, "日本" * 70]
+    for t in texts:
+        for size in (1, 3, 17):
+            state, total = fst.start, 0
+            for m in map(fst.piece_map, pieces(t, size)):
+                state, n = fst.apply(m, state)
+                total += n
+            assert total == len(sp.encode(t))
+
+
 def test_transducer_forgets(fst, monkeypatch):
     import strandline.llm.token_counts as module
 

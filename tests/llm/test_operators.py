@@ -58,6 +58,40 @@ def test_toxicity_learns(spark):
     assert [(s["first"], s["end"]) for s in spans] == [(30, 32)]
 
 
+def test_toxicity_copies_are_no_evidence(spark):
+    rng = np.random.default_rng(6)
+    letters = [a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    docs = [(k, " ".join(rng.choice(letters, 30)) + (" zounds" if k % 5 == 0 else "")) for k in range(1500)]
+    docs += [(2000 + k, f"rarely uncommon quaint {docs[3][1]} w{k}") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k >= 2000 or k % 5 == 0)) for k, _ in docs], "doc_id long, toxic int")
+    df = spark.createDataFrame([*docs, (5, None), (None, "zounds")], "doc_id long, text string")
+    assert set(toxicity.train(df, labels).lexicon) == {b"zounds"}
+    assert set(toxicity.train(df, labels, sample=700).lexicon) == {b"zounds"}
+
+
+@pytest.mark.parametrize(("query", "column", "target"), [("op1_toxicity", "toxic", 0.3), ("op8_crf_quality", "quality", 0.7)])
+def test_scores_of_the_query(spark, sf, query, column, target):
+    """Each row's score again from its text alone, by the model's own formula over whole texts."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    if column == "toxic":
+        model = toxicity.train(docs, labels)
+        again = lambda t: model.probability(sum(-np.log(max(x[3], 1e-300)) for x in model.segments(t)[1]))
+    else:
+        model = crf_quality.train(docs, labels)
+
+        def again(t):
+            x, size = crf_quality.line_features(t)
+            p, w = model.marginals(x), size if size.sum() else np.ones(len(size))
+            return model.probability(float(np.average(p, weights=w)))
+
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = QUERIES[query](spark, sf).collect()
+    assert len(got) == len(text)
+    for r in got:
+        assert r["score"] == pytest.approx(again(text[r["doc_id"]])) and r["predicted"] == int(r["score"] >= target)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 def test_quality_awkward(awkward, nothing, labels):
     for docs, n in ((awkward, len(TEXTS)), (nothing, 0)):
         model = crf_quality.train(docs, labels)
@@ -196,22 +230,27 @@ def leaks_by_force(text, items, window=10):
                 if w[j : j + len(x)] == x:
                     hit |= set(range(j, j + len(x)))
                     names.add(name)
+    names -= {None}
     return len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
 
 
 def test_decontamination_awkward(spark, awkward, nothing):
     items = [("10", "word1 word2 word3 word4 word5 word6 word7 word8 word9 word10 word11"), ("9", "Same TEXT"), ("2", None), ("3", "..."), (None, "plain line"), ("11", "a b c d e f g h i j k l")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    known = [x for x in items if x[0]]
+    by_text = {}
     for size in (4 << 20, 20):
         got = decontaminate.contamination(awkward, bench, block_bytes=size).drop("spans").collect()
-        assert [tuple(r)[1:] for r in got] == [leaks_by_force(t, known) for _, t in TEXTS]
+        assert Counter((r["doc_id"], *tuple(r)[1:]) for r in got) == Counter((i, *leaks_by_force(t, items)) for i, t in TEXTS)
+        cut = decontaminate.remove_contamination(awkward, bench, block_bytes=size)
+        by_text[size] = Counter(map(tuple, cut.collect()))
+        assert cut.schema == awkward.schema
+    assert by_text[20] == by_text[4 << 20]
     assert decontaminate.contamination(nothing, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.contamination(awkward, bench.limit(0)).collect())
     clean = decontaminate.remove_contamination(awkward, bench)
     rows = clean.collect()
     assert clean.schema == awkward.schema and len(rows) == len(TEXTS) - 4
-    assert all(leaks_by_force(r["text"], known)[1] == 0 for r in rows)
+    assert all(leaks_by_force(r["text"], items)[1] == 0 for r in rows)
     assert next(r for r in rows if r["doc_id"] == 5)["n_chars"] == len(next(r for r in rows if r["doc_id"] == 5)["text"])
 
 
@@ -252,16 +291,71 @@ def test_fertility_rejects_outliers(spark):
     assert not got[1000] and not got[1001] and sum(got[k] for k, _, _ in plain) >= 299
 
 
+def quartile_fences(counts, fence=3.0, least=0.12):
+    """A band by hand from {bin: weight}."""
+    total, upto, q = sum(counts.values()), 0.0, {}
+    for k in sorted(counts):
+        upto += counts[k]
+        for x in (0.25, 0.5, 0.75):
+            if upto >= (x - 1e-9) * total:
+                q.setdefault(x, k)
+    reach = fence * (q[0.75] - q[0.25] + 1)
+    return min(q[0.25] - reach, q[0.5] * (1 - least)) / fertility.BINS, max(q[0.75] + 1 + reach, q[0.5] * (1 + least) + 1) / fertility.BINS
+
+
+def test_fertility_query_by_force(spark, sf):
+    lang = {r["doc_id"]: r["lang"] or "und" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = QUERIES["op6_fertility"](spark, sf).collect()
+    group = lambda r, x: (int(np.floor(np.log2(max(1, r["n_tokens"]))))) if x == "entropy" else -1
+    passing = [r for r in got if not r["base_failed"]]
+    for x in fertility.MEASURES:
+        at = [(lang[r["doc_id"]], group(r, x), int(np.floor(r[x] * fertility.BINS))) for r in passing]
+
+        def drawn(own, above, weight=fertility.WEIGHT):
+            n = Counter(own)
+            total = sum(above.values())
+            return {k: n[k] + weight * v / total for k, v in above.items()}
+
+        everyone, band = Counter(b for _, _, b in at), {}
+        for key in {(a, o) for a, o, _ in at}:
+            above = drawn([b for _, o, b in at if o == key[1]], everyone)
+            band[key] = quartile_fences(drawn([b for a, o, b in at if (a, o) == key], above))
+        for r in passing:
+            low, high = band[lang[r["doc_id"]], group(r, x)]
+            assert (x in r["outside"].split(",")) == (not low <= r[x] <= high)
+    assert all(r["kept"] == (not r["base_failed"] and r["outside"] == "") for r in got) and len(passing) > 100
+
+
+@pytest.mark.parametrize("n", [1, 20, 99, 101])
+def test_fertility_judges_small_tables(spark, n):
+    rng = np.random.default_rng(3)
+    plain = [(k, " ".join(rng.choice(["the", "house", "river", "under", "green", "walks", "slowly", "bright", "morning", "stone"], 120)), "en") for k in range(n)]
+    odd = [(1000, " ".join(chr(0x13000 + int(x)) * 3 for x in rng.integers(0, 900, 120)), "en")]
+    got = {r["doc_id"]: r["kept"] for r in fertility.judged(spark.createDataFrame(plain + odd, "doc_id long, text string, lang string")).collect()}
+    assert n == 1 or (not got[1000] and all(got[k] for k, _, _ in plain))
+
+
 def test_token_counts_awkward(awkward, nothing):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     got = token_counts.count_tokens(awkward, limit=1000).collect()
-    want = [(len((t or "").encode()), len(sp.encode(t or ""))) for _, t in TEXTS]
-    assert [(r["n_bytes"], r["n_tokens"]) for r in got] == want and [r["over_limit"] for r in got] == [n > 1000 for _, n in want]
+    want = [(i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in TEXTS]
+    assert sorted(map(str, ((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got))) == sorted(map(str, want)) and all(r["over_limit"] == (r["n_tokens"] > 1000) for r in got)
     assert token_counts.count_tokens(nothing).count() == 0
 
 
+def test_long_texts_are_counted_in_pieces(spark):
+    import sentencepiece
+
+    rng, sp = np.random.default_rng(4), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    blank = "".join(chr(x) for x in rng.choice(np.array([*range(0x4E00, 0x4F00), *range(97, 123)]), 3_000_000))
+    texts = [(1, blank), (1, blank), (None, "x" * (1 << 20)), (2, " y" * (1 << 19)), (3, "short")]
+    got = token_counts.count_tokens(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    want = [(i, len(t.encode()), len(sp.encode(t))) for i, t in texts]
+    assert sorted(map(str, ((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got))) == sorted(map(str, want))
+
+
 def test_token_counts_query(spark, sf):
     import sentencepiece
 
