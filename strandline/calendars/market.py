@@ -73,14 +73,18 @@ class MarketCalendar:
         """UTC instant of a kind of time on a session's day, by the time in force then."""
 
         def made(a: At) -> Column:
-            text = F.concat(F.date_add(day, a.days).cast("string"), F.lit(f" {a.time.isoformat()}"))
-            return F.to_utc_timestamp(F.to_timestamp(text), self.tz)
+            return self._utc(F.concat(F.date_add(day, a.days).cast("string"), F.lit(f" {a.time.isoformat()}")))
 
         out = F.lit(None).cast("timestamp")
         for a in sorted(self.times[kind], key=lambda a: a.since or dt.date.min):
             out = made(a) if a.since is None else F.when(day >= F.lit(a.since), made(a)).otherwise(out)
         return out
 
+    def _utc(self, text: Column) -> Column:
+        """The instant of a local date and time, whatever the session's zone."""
+        utc = F.convert_timezone(F.lit(self.tz), F.lit("UTC"), F.to_timestamp_ntz(text))
+        return F.to_timestamp(F.concat(utc.cast("string"), F.lit("Z")))
+
     def special_dates(self, kind: str, start: dt.date, end: dt.date) -> dict[dt.date, dt.time]:
         out = dict.fromkeys(self.early.holidays(start, end), self.early_close) if kind == "close" and self.early_close else {}
         off = set(self.regular.holidays(start, end))
@@ -97,7 +101,7 @@ class MarketCalendar:
             if not days or kind not in self.times:
                 continue
             rows = [(d, f"{d} {t.isoformat()}") for d, t in days.items()]
-            table = spark.createDataFrame(rows, "date date, at string").select("date", F.to_utc_timestamp(F.to_timestamp("at"), self.tz).alias("__at"))
+            table = spark.createDataFrame(rows, "date date, at string").select("date", self._utc(F.col("at")).alias("__at"))
             out = out.join(F.broadcast(table), "date", "left")
             if force_special:
                 out = out.select("date", *[(F.coalesce("__at", k) if k == kind else clip(k, F.coalesce("__at", k))).alias(k) for k in kinds])
@@ -116,18 +120,20 @@ class MarketCalendar:
 def open_at_time(times: DataFrame, column: str, schedule: DataFrame, include_close: bool = False) -> DataFrame:
     """times with is_open: whether the instant is in a session (and not in its break).
 
-    Sessions are cut into the UTC days that they touch, so that the join is on equal days.
+    Sessions are listed under the days that they touch; a schedule has a row for each day, so the lists are broadcast and
+    no row of times is moved.
     """
-    days = F.explode(F.sequence(F.to_date("open"), F.to_date("close")))
-    pieces = schedule.withColumn("__day", days)
     at = F.col(column).cast("timestamp")
-    inside = (at >= F.col("open")) & ((at <= F.col("close")) if include_close else (at < F.col("close")))
-    if "break_start" in schedule.columns:
-        inside = inside & ~F.coalesce((at >= F.col("break_start")) & (at < F.col("break_end")), F.lit(False))
-    keyed = times.withColumn("__row", F.monotonically_increasing_id())
-    flagged = keyed.join(F.broadcast(pieces.select("__day", *[c for c in ("open", "close", "break_start", "break_end") if c in schedule.columns])), (F.to_date(at) == F.col("__day")) & inside, "left")
-    grouped = flagged.groupBy("__row", *times.columns).agg(F.count("open").alias("__n"))
-    return grouped.select(*times.columns, (F.col("__n") > 0).alias("is_open"))
+    parts = [c for c in ("open", "close", "break_start", "break_end") if c in schedule.columns]
+    pieces = schedule.select(F.explode(F.sequence(F.to_date("open"), F.to_date("close"))).alias("__day"), F.struct(*parts).alias("s"))
+    days = F.broadcast(pieces.groupBy("__day").agg(F.collect_list("s").alias("__sessions")))
+
+    def inside(s: Column) -> Column:
+        here = (at >= s["open"]) & ((at <= s["close"]) if include_close else (at < s["close"]))
+        return here & ~F.coalesce((at >= s["break_start"]) & (at < s["break_end"]), F.lit(False)) if "break_start" in parts else here
+
+    flagged = times.join(days, F.to_date(at) == F.col("__day"), "left")
+    return flagged.select(*times.columns, F.coalesce(F.exists("__sessions", inside), F.lit(False)).alias("is_open"))
 
 
 def merge_schedules(schedules: list[DataFrame], outer: bool = True) -> DataFrame:

@@ -22,6 +22,21 @@ def from_micros(c: Column) -> Column:
     return F.timestamp_micros(c).cast("timestamp_ntz")
 
 
+def wall_micros(c: Column) -> Column:
+    """Microseconds since 1970 of a wall clock (timestamp_ntz), whatever the session's zone."""
+    c = c.cast("timestamp_ntz")
+    second = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    return F.unix_date(F.to_date(c)).cast("long") * MICROS["day"] + F.hour(c).cast("long") * MICROS["hour"] + F.minute(c).cast("long") * MICROS["minute"] + second
+
+
+def from_wall_micros(c: Column) -> Column:
+    """The wall clock so many microseconds after 1970, whatever the session's zone."""
+    day = F.date_from_unix_date(((c - F.pmod(c, F.lit(MICROS["day"]))) / MICROS["day"]).cast("int"))
+    rest = F.pmod(c, F.lit(MICROS["day"]))
+    seconds = (rest.cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)")
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def local(c: Column, tz: str = "UTC") -> Column:
     """Wall clock of an instant in a zone."""
     return F.from_utc_timestamp(c.cast("timestamp"), tz).cast("timestamp_ntz")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.offsets import BDay, MonthAnchor, Offset, Tick, Week, parse
-from ..functions.temporal import from_micros, local, micros
+from ..functions.temporal import from_wall_micros, wall_micros
 from .aggregate import order_key
 
 DAY = 86_400_000_000
@@ -69,24 +69,29 @@ def _origin(df: DataFrame, time: Column, o: Resample, closed: str) -> int:
 def bucket(df: DataFrame, time: str, o: Resample) -> Column:
     """The label of each row's bucket, as timestamp_ntz (an instant in UTC where o.tz says that time is one)."""
     closed, label = o.sides()
-    wall = local(F.col(time), o.tz) if o.tz else F.col(time)
-    t, rule = micros(wall), o.rule
+    wall = F.col(time).cast("timestamp_ntz")
+    if o.tz:
+        utc = wall if df.schema[time].dataType.typeName() == "timestamp_ntz" else F.convert_timezone(None, F.lit("UTC"), wall)
+        wall = F.convert_timezone(F.lit("UTC"), F.lit(o.tz), utc)
+    t, rule = wall_micros(wall), o.rule
     if isinstance(rule, Tick):
         span = rule.n * rule.span
         at = F.lit(_origin(df, t, o, closed))
         start = t - F.pmod(t - at, F.lit(span)) if closed == "left" else t + F.pmod(at - t, F.lit(span)) - F.lit(span)
-        out = from_micros(start + (F.lit(span) if label == "right" else F.lit(0)))
+        out = from_wall_micros(start + (F.lit(span) if label == "right" else F.lit(0)))
     elif isinstance(rule, Week):
         out = _week(wall, rule, closed, label)
     elif isinstance(rule, MonthAnchor):
         out = _month(wall, rule, closed, label)
     elif isinstance(rule, BDay):
+        if rule.n != 1 or o.closed not in (None, "left") or o.label not in (None, "left"):
+            raise ValueError("business days have buckets of one day, closed and labelled left")
         d = F.date_add(F.to_date(wall), 0)
         onto = F.date_sub(d, F.greatest(F.weekday(d) - 4, F.lit(0)))
         out = onto.cast("timestamp_ntz")
     else:
         raise ValueError(f"no buckets for {rule!r}")
-    return F.to_utc_timestamp(out.cast("timestamp"), o.tz).cast("timestamp_ntz") if o.tz else out
+    return F.convert_timezone(F.lit(o.tz), F.lit("UTC"), out) if o.tz else out
 
 
 def _week(wall: Column, rule: Week, closed: str, label: str) -> Column:
