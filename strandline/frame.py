@@ -13,11 +13,12 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .functions import logic as L
 from .functions import math as M
 from .operators import aggregate, combine, ewm, resample, select, windows
-from .operators.position import over_blocks, running, with_position
+from .operators.position import filled, over_blocks, running, with_position
 from .plans.sql import query
 from .storage import ship
 
@@ -73,11 +74,11 @@ class Frame:
         """Columns set or added, last. A frame of the same lineage may be given by its one value column's expression."""
         out = self.df
         for name, c in cols.items():
-            out = out.drop(name).withColumn(name, c)
+            out = out.select(*[x for x in out.columns if x != name], c.alias(name))
         return self._new(out)
 
     def update(self, changes: Frame) -> Frame:
-        return self._new(combine.update(self.df, changes.df, self.index))
+        return self._new(combine.update(self.df, changes.df, self.index, [c for c in changes.order if c in changes.df.columns]))
 
     def drop(self, *names: str) -> Frame:
         for n in names:
@@ -110,9 +111,12 @@ class Frame:
         return self._new(self.df.withColumns(cols))
 
     def flatten(self) -> DataFrame:
-        """All values in row order as one column."""
+        """All values in row order as one column: double where all are numbers, else text unless all are of one type."""
         rows = with_position(self.df, self.order, "__pos")
-        cells = F.posexplode(F.array(*[F.col(c).cast("double") for c in self.values]))
+        kinds = {self.df.schema[c].dataType.simpleString() for c in self.values}
+        number = all(isinstance(self.df.schema[c].dataType, NumericType) for c in self.values)
+        kind = "double" if number else kinds.pop() if len(kinds) == 1 else "string"
+        cells = F.posexplode(F.array(*[F.col(c).cast(kind) for c in self.values]))
         return rows.select("__pos", cells.alias("__k", "value")).orderBy("__pos", "__k").select("value")
 
     def transpose_series(self, value: str) -> DataFrame:
@@ -176,10 +180,17 @@ class Frame:
     def fill_null(self, value: Any) -> Frame:
         return self._new(select.fill_null(self.df, value, self.values))
 
+    def _filled(self, order: list) -> Frame:
+        return self._new(filled(with_position(self.df, order, "__pos"), "__pos", {c: F.col(c) for c in self.values}).drop("__pos"))
+
     def ffill(self) -> Frame:
+        if not self.keys:
+            return self._filled(self.order)
         return self._windowed({c: lambda w, c=c: windows.ffill(F.col(c), w) for c in self.values})
 
     def bfill(self) -> Frame:
+        if not self.keys:
+            return self._filled([F.desc(c) for c in self.order])
         return self._windowed({c: lambda w, c=c: windows.bfill(F.col(c), w) for c in self.values})
 
     def _windowed(self, cols: dict[str, Callable[[WindowSpec], Column]]) -> Frame:
@@ -327,17 +338,56 @@ class Frame:
 
     def expanding(self, name: str, columns: list[str] | None = None, min_periods: int = 1, **options: Any) -> Frame:
         spec = windows.Expanding(min_periods)
+        if not self.keys:
+            return self._expanded(name, columns or self.values, min_periods, **options)
         return self._windowed({c: lambda w, c=c: windows.agg(name, F.col(c), spec, w, **options) for c in columns or self.values})
 
-    def cumulative(self, name: str, columns: list[str] | None = None, skip_nulls: bool = True) -> Frame:
-        """Running sum, max or min over the whole frame without keys; any of windows.cumulative with them."""
+    def cumulative(self, name: str, columns: list[str] | None = None, skip_nulls: bool = True, start: Any = None) -> Frame:
+        """Running sum, prod, mean, max or min, by key or over the whole frame; see windows.cumulative."""
         names = columns or self.values
         if self.keys:
-            return self._windowed({c: lambda w, c=c: windows.cumulative(name, F.col(c), w, skip_nulls) for c in names})
-        f, both = {"sum": (F.sum, operator.add), "max": (F.max, F.greatest), "min": (F.min, F.least)}[name]
-        rows = running(with_position(self.df, self.order, "__pos"), "__pos", {f"__r_{c}": (F.col(c), f, both) for c in names})
-        out = rows.withColumns({c: F.when(F.col(c).isNotNull(), F.col(f"__r_{c}")) for c in names})
-        return self._new(out.drop("__pos", *[f"__r_{c}" for c in names]))
+            return self._windowed({c: lambda w, c=c: windows.cumulative(name, F.col(c), w, skip_nulls, start) for c in names})
+        rows, parts = self._running("sum" if name == "mean" else name, names)
+        cols = {}
+        for c in names:
+            out, n = F.col(parts[c]), F.col(f"{parts[c]}_n")
+            if start is not None:
+                s = F.lit(start)
+                out = {"sum": out + s, "prod": out * s, "max": F.greatest(out, s), "min": F.least(out, s), "mean": out + s}[name]
+                n = n + 1
+            out = out / n if name == "mean" else out
+            cols[c] = F.when(F.col(c).isNotNull() if skip_nulls else F.col(f"{parts[c]}_n") == F.col("__pos") + 1, out)
+        return self._new(rows.withColumns(cols).drop("__pos", *[x for p in parts.values() for x in (p, f"{p}_n")]))
+
+    def _running(self, name: str, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+        """Rows with __pos and, for each column, its running aggregate and (_n) count of values; the former's names."""
+        ways = {"sum": (F.sum, operator.add), "prod": (lambda c: F.product(c.cast("double")), operator.mul), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+        if name not in ways:
+            raise ValueError(f"unknown cumulative {name!r}")
+        f, both = ways[name]
+        parts = {c: f"__r_{c}" for c in names}
+        aggs = {p: (F.col(c), f, both) for c, p in parts.items()} | {f"{p}_n": (F.when(F.col(c).isNotNull(), 1).otherwise(0), F.sum, operator.add) for c, p in parts.items()}
+        return running(with_position(self.df, self.order, "__pos"), "__pos", aggs), parts
+
+    def _expanded(self, name: str, names: list[str], least: int, ddof: int = 1) -> Frame:
+        """Expanding aggregates over the whole frame: sum, product, mean, min, max, count_valid, variance, stddev."""
+        how = {"product": "prod", "mean": "sum", "count_valid": "sum", "variance": "sum", "stddev": "sum"}.get(name, name)
+        if name in ("variance", "stddev"):  # sums of squares about the mean of all, so that nothing cancels
+            centre = dict(zip(names, self.df.agg(*[F.avg(c) for c in names]).first(), strict=True))
+            apart = [(c, F.col(c).cast("double") - F.lit(centre[c] or 0.0)) for c in names]
+            moved = self.df.withColumns({f"__d_{c}": d for c, d in apart} | {f"__q_{c}": d * d for c, d in apart})
+            rows, parts = self._new(moved)._running("sum", [f"__{x}_{c}" for c in names for x in "dq"])
+        else:
+            rows, parts = self._running(how, names)
+        cols = {}
+        for c in names:
+            p = parts[f"__d_{c}" if name in ("variance", "stddev") else c]
+            n, total = F.col(f"{p}_n"), F.col(p)
+            var = (F.col(parts.get(f"__q_{c}", p)) - total * total / n) / F.when(n > ddof, n - ddof)
+            out = {"mean": total / n, "count_valid": n, "variance": F.greatest(var, F.lit(0.0)), "stddev": F.sqrt(F.greatest(var, F.lit(0.0)))}.get(name, total)
+            cols[c] = F.when(n >= least, out)
+        held = [x for p in parts.values() for x in (p, f"{p}_n")] + [x for x in parts if x.startswith("__")]
+        return self._new(rows.withColumns(cols).drop("__pos", *held))
 
     def _lagged(self, make: Callable[[WindowSpec], dict[str, Column]], n: int) -> Frame:
         if self.keys:

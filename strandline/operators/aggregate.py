@@ -44,9 +44,17 @@ def _variance(c: Column, ddof: int) -> Column:
     return F.var_pop(c) if ddof == 0 else F.when(n > ddof, F.var_pop(c) * n / (n - ddof))
 
 
-def down(name: str, c: Column, order: Column | None = None, skip_nulls: bool = True, min_count: int = 0, ddof: int = 0, q: float = 0.5, interpolation: str = "linear", value=None, pos: Column | None = None, other: Column | None = None) -> Column:
+def _covariance(a: Column, b: Column, ddof: int, least: int) -> Column:
+    n = F.count(F.when(a.isNotNull() & b.isNotNull(), 1))
+    cov = F.covar_samp(a, b) if ddof == 1 else F.covar_pop(a, b) * n / (n - ddof)
+    return F.when((n > ddof) & (n >= least), cov)
+
+
+def down(name: str, c: Column, order: Column | None = None, skip_nulls: bool = True, min_count: int = 0, ddof: int | None = None, q: float = 0.5, interpolation: str = "linear", value=None, pos: Column | None = None, other: Column | None = None, min_periods: int = 1) -> Column:
     """One aggregate expression. first and last need `order`; index and idx_min/idx_max need `pos`.
 
+    ddof is 0 for variances and 1 for covariances where it is not given; a covariance of fewer than min_periods pairs is null.
+
     skip_nulls=False makes the result null when any value is; so does min_count with fewer valid values.
     """
     if name in ("first", "last"):
@@ -61,8 +69,8 @@ def down(name: str, c: Column, order: Column | None = None, skip_nulls: bool = T
         "product": lambda: F.product(c.cast("double")),
         "all": lambda: F.bool_and(c),
         "any": lambda: F.bool_or(c),
-        "variance": lambda: _variance(c, ddof),
-        "stddev": lambda: F.sqrt(_variance(c, ddof)),
+        "variance": lambda: _variance(c, ddof or 0),
+        "stddev": lambda: F.sqrt(_variance(c, ddof or 0)),
         "median": lambda: F.median(c),
         "approximate_median": lambda: F.percentile_approx(c, 0.5),
         "tdigest": lambda: F.percentile_approx(c, q, 10_000),
@@ -70,8 +78,8 @@ def down(name: str, c: Column, order: Column | None = None, skip_nulls: bool = T
         "kurtosis": lambda: F.kurtosis(c),
         "skewness": lambda: F.skewness(c),
         "idx_min": lambda: F.min_by(pos, F.when(c.isNotNull(), F.struct(c, pos))),
-        "idx_max": lambda: F.min_by(pos, F.when(c.isNotNull(), F.struct(-c, pos))),
-        "cov": lambda: F.covar_samp(c, other),
+        "idx_max": lambda: -F.max_by(-pos, F.when(c.isNotNull(), F.struct(c, -pos))),
+        "cov": lambda: _covariance(c, other, 1 if ddof is None else ddof, min_periods),
         "corr": lambda: F.corr(c, other),
     }
     plain = {

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .position import filled, with_position
+
 
 def align(left: DataFrame, right: DataFrame, index: list[str], suffixes: tuple[str, str] = ("__l", "__r")) -> DataFrame:
     """Full outer join on the index: index columns once, then every other column of either side with its suffix."""
@@ -61,10 +63,12 @@ def concat_columns(frames: list[DataFrame], index: list[str], join: str = "outer
     return reduce(lambda a, b: a.join(b, index, "full_outer" if join == "outer" else "inner"), frames)
 
 
-def update(df: DataFrame, changes: DataFrame, index: list[str]) -> DataFrame:
-    """Values of `changes` put over those of the same label and column."""
+def update(df: DataFrame, changes: DataFrame, index: list[str], order: list[str] | None = None) -> DataFrame:
+    """Values of `changes` put over those of the same label and column; of a repeated label its last row in `order`."""
     new = [c for c in changes.columns if c not in index]
-    other = changes.select(*index, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__n_{c}") for c in new])
+    at = F.struct(*(order or []), F.monotonically_increasing_id())
+    last = changes.select(*index, F.struct(*new).alias("__new"), at.alias("__at")).groupBy(*index).agg(F.max_by("__new", "__at").alias("__new"))
+    other = last.select(*index, F.lit(True).alias("__hit"), *[F.col("__new")[c].alias(f"__n_{c}") for c in new])
     both = df.join(other, index, "left")
     return both.select(*[F.when(F.col("__hit"), F.col(f"__n_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
 
@@ -74,12 +78,17 @@ def label_union(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
 
 
 def label_intersection(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
-    """Labels of a that b has, repeats kept."""
-    return a.select(index).join(b.select(index).distinct(), index, "left_semi")
+    """Labels of a that b has, repeats kept; null is a label."""
+    return _labels(a, b, index, "left_semi")
 
 
 def label_difference(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
-    return a.select(index).join(b.select(index).distinct(), index, "left_anti")
+    return _labels(a, b, index, "left_anti")
+
+
+def _labels(a: DataFrame, b: DataFrame, index: str, how: str) -> DataFrame:
+    other = b.select(F.col(index).alias("__other")).distinct()
+    return a.select(index).join(other, F.col(index).eqNullSafe(F.col("__other")), how)
 
 
 def label_symmetric_difference(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
@@ -92,12 +101,20 @@ def merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], value: list[str], tie: list[str] | None = None) -> DataFrame:
-    """left with the last right values at or before each time, by key: one union and one window, no range join."""
+    """left with the last right values at or before each time, by key: one union and one window, no range join.
+
+    Without keys the union is put in order once and the last values run over its blocks.
+    """
     values = F.struct(*[F.col(c) for c in value])
     r = right.select(*by, on, values.alias("__v"), F.lit(0).alias("__side"), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (*by, on)])
     lft = left.select(*by, on, F.lit(None).cast(r.schema["__v"].dataType).alias("__v"), F.lit(1).alias("__side"), *[c for c in left.columns if c not in (*by, on)])
-    w = Window.partitionBy(*by).orderBy(on, "__side", *(tie or [])).rowsBetween(Window.unboundedPreceding, 0)
-    out = lft.unionByName(r).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    both = lft.unionByName(r)
+    if by:
+        w = Window.partitionBy(*by).orderBy(on, "__side", *(tie or [])).rowsBetween(Window.unboundedPreceding, 0)
+        out = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w))
+    else:
+        out = filled(with_position(both, [on, "__side", *(tie or [])], "__pos"), "__pos", {"__last": F.col("__v")}).drop("__pos")
+    out = out.where("__side = 1")
     return out.select(*left.columns, *[F.col("__last")[c].alias(f"{c}_asof" if c in left.columns else c) for c in value])
 
 

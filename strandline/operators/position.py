@@ -60,3 +60,10 @@ def running(df: DataFrame, pos: str, aggs: dict[str, tuple[Column, Callable[[Col
         here, old = f(v).over(w), F.col(f"__p_{k}")
         cols[k] = F.when(old.isNull(), here).when(here.isNull(), old).otherwise(combine(old, here))
     return out.withColumns(cols).drop("__block", *[f"__p_{k}" for k in aggs])
+
+
+def filled(df: DataFrame, pos: str, cols: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """df with, for each name, the column's last value that is not null at or before each row of a gapless position."""
+    aggs = {f"__f_{k}": (F.when(c.isNotNull(), F.struct(F.col(pos).alias("at"), c.alias("v"))), F.max, lambda old, here: here) for k, c in cols.items()}
+    out = running(df, pos, aggs, block)
+    return out.withColumns({k: F.col(f"__f_{k}")["v"] for k in cols}).drop(*aggs)

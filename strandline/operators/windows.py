@@ -62,7 +62,9 @@ def agg(name: str, c: Column, spec: Rolling | Expanding, w: WindowSpec, skip_nul
     f = spec.frame(w)
     valid = c.isNotNull() if other is None else c.isNotNull() & other.isNotNull()
     n = F.count(F.when(valid, 1)).over(f)
-    if name == "product":
+    if name == "product" and isinstance(spec, Rolling):  # a bounded frame's values, multiplied in order
+        out = F.aggregate(F.collect_list(c.cast("double")).over(f), F.lit(1.0), lambda a, b: a * b)
+    elif name == "product":
         out = _product(c, f)
     elif name in ("first", "last"):
         out = getattr(F, name)(c, ignorenulls=True).over(f)

@@ -108,13 +108,6 @@ register("resample_week_left_label", _CAL.format(b="(date_trunc('week', o_orderd
 register("resample_business_day", _CAL.format(b="(date_trunc('day', o_orderdate) - to_days(greatest(isodow(o_orderdate)::int - 5, 0)))::timestamp"))(_calendar("B"))
 
 
-@register("resample_fill_gaps", "with b as (select event_type, date_trunc('hour', ts) as bucket, count(*) as n from events where event_id % 3 = 0 group by 1, 2), g as (select event_type, unnest(range(min(bucket), max(bucket) + interval 1 hour, interval 1 hour)) as bucket from b group by 1) select g.event_type, g.bucket, b.n from g left join b using (event_type, bucket)")
-def fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = resample.Resample("1h", origin="epoch")
-    bars = resample.resample(table(spark, sf_dir, "events").where("event_id % 3 = 0"), "ts", o, ["event_type"], "bucket").agg(F.count("*").alias("n"))
-    return resample.fill_gaps(bars, "bucket", o, ["event_type"])
-
-
 @register("resample_fill_gaps_all", "with b as (select event_type, date_trunc('minute', ts) as bucket, count(*) as n from events group by 1, 2), g as (select event_type, unnest(range(min(bucket), max(bucket) + interval 1 minute, interval 1 minute)) as bucket from b group by 1) select g.event_type, g.bucket, b.n from g left join b using (event_type, bucket)")
 def fill_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = resample.Resample("1min", origin="epoch")
@@ -372,12 +365,6 @@ def frame_across(spark: SparkSession, sf_dir: str) -> DataFrame:
 # order, selection, duplicates
 
 
-@register("sort_values", "select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey) as place from orders qualify place <= 500")
-def sort_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = select.sort_values(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], False, tie=["o_orderkey"]).limit(500)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long"))
-
-
 @register("sort_values_all", "select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc nulls last, o_orderkey) as place from orders")
 def sort_values_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = with_position(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")], "place")
@@ -498,10 +485,10 @@ def monotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return df.where("o_orderkey % 3 <> 0"), df.where("o_orderkey % 2 = 0")
+    return df, df.withColumn("o_orderkey", F.col("o_orderkey") + 1000)
 
 
-_HALVES = "with a as (select o_orderkey, o_totalprice from orders where o_orderkey % 3 <> 0), b as (select o_orderkey, o_totalprice from orders where o_orderkey % 2 = 0) "
+_HALVES = "with a as (select o_orderkey, o_totalprice from orders), b as (select o_orderkey + 1000 as o_orderkey, o_totalprice from orders) "
 
 
 @register("aligned_add", _HALVES + "select o_orderkey, round(a.o_totalprice + b.o_totalprice, 6) as o_totalprice from a full join b using (o_orderkey)")
@@ -525,11 +512,6 @@ for _join, _kind in (("inner", "join"), ("outer", "full join")):
     register(f"concat_columns_{_join}", _HALVES + f"select o_orderkey, a.o_totalprice, b.o_totalprice as other from a {_kind} b using (o_orderkey)")(_concat)
 
 
-@register("reindex_fill", "select k as o_orderkey, coalesce(o_totalprice, -1.0) as o_totalprice from range(0, 500) t(k) left join orders on o_orderkey = k")
-def reindex_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return combine.reindex(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), spark.range(500), "o_orderkey", -1.0)
-
-
 @register("reindex_fill_all", "with k as (select o_orderkey from orders union all select (select max(o_orderkey) from orders) + i + 1 from range(0, 500) t(i)) select o_orderkey, coalesce(o_totalprice, -1.0) as o_totalprice from k left join orders using (o_orderkey)")
 def reindex_fill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
@@ -636,10 +618,10 @@ def string_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", S.lpad(c, 12, "*").alias("lp"), S.rpad(c, 4, "*").alias("rp"), S.trim(c, "B1").alias("t"), S.center(c, 15, "-").alias("c"))
 
 
-@register("string_search", "select doc_id, (length(text) - length(replace(text, 'an', ''))) // 2 as n, case when instr(text, 'tion') = 0 then -1 else strlen(left(text, instr(text, 'tion') - 1)) end as at, text like '%the%' as the, replace(left(text, 40), 'e', '3') as r, left(text, 5) as s from documents")
+@register("string_search", "select doc_id, (length(text) - length(replace(text, 'an', ''))) // 2 as n, case when instr(text, 'tion') = 0 then -1 else strlen(left(text, instr(text, 'tion') - 1)) end as at, text like '%the%' as the, left(text, 5) as s from documents")
 def string_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", S.count_substring(t, "an").cast("long").alias("n"), S.find_substring(t, "tion").cast("long").alias("at"), S.match_like(t, "%the%").alias("the"), S.replace_substring(S.slice_codeunits(t, 0, 40), "e", "3").alias("r"), S.slice_codeunits(t, 0, 5).alias("s"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.count_substring(t, "an").cast("long").alias("n"), S.find_substring(t, "tion").cast("long").alias("at"), S.match_like(t, "%the%").alias("the"), S.slice_codeunits(t, 0, 5).alias("s"))
 
 
 @register("string_replace", "select doc_id, length(replace(text, 'e', '3')) as n, md5(replace(text, 'e', '3')) as r from documents")
@@ -738,3 +720,154 @@ def sql_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("sql_self_case", "select event_id, case when value > 75 then 'high' when value in (0, 1, 2) then 'odd' else 'low' end as band, abs(floor(value)) as f from events where event_type in ('click', 'view')")
 def sql_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(table(spark, sf_dir, "events"), "SELECT event_id, CASE WHEN value > 75 THEN 'high' WHEN value IN (0, 1, 2) THEN 'odd' ELSE 'low' END AS band, CAST(abs(floor(value)) AS double) AS f FROM self WHERE event_type IN ('click', 'view')")
+
+
+# windows over a whole frame, without keys
+
+
+def plain_events(spark: SparkSession, sf_dir: str) -> Frame:
+    df = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
+    return Frame(df, "event_id")
+
+
+_PLAIN = "with e as (select event_id, case when event_id % 7 <> 0 then value end as v from events) "
+
+
+@register("ffill_unkeyed", _PLAIN + "select event_id, last_value(v ignore nulls) over (order by event_id rows between unbounded preceding and current row) as v from e")
+def ffill_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_events(spark, sf_dir).ffill().df
+
+
+@register("bfill_unkeyed", _PLAIN + "select event_id, first_value(v ignore nulls) over (order by event_id rows between current row and unbounded following) as v from e")
+def bfill_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_events(spark, sf_dir).bfill().df
+
+
+for _name, _sql in (("sum", "sum(v)"), ("mean", "avg(v)"), ("min", "min(v)"), ("max", "max(v)"), ("count_valid", "count(v)"), ("variance", "var_samp(v)"), ("stddev", "stddev_samp(v)")):
+
+    def _expanding(spark: SparkSession, sf_dir: str, name: str = _name) -> DataFrame:
+        return plain_events(spark, sf_dir).expanding(name, min_periods=3).df.select("event_id", F.round(F.col("v").cast("double"), 5 if "v" in name else 9).alias("v"))
+
+    register(f"expanding_{_name}_unkeyed", _PLAIN + f"select event_id, case when count(v) over w >= 3 then round(({_sql} over w)::double, {5 if 'v' in _name else 9}) end as v from e window w as (order by event_id rows between unbounded preceding and current row)")(_expanding)
+
+
+@register("cumulative_mean_unkeyed", _PLAIN + "select event_id, case when v is not null then round((sum(v) over w + 10) / (count(v) over w + 1), 6) end as v from e window w as (order by event_id rows between unbounded preceding and current row)")
+def cumulative_mean_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_events(spark, sf_dir).cumulative("mean", start=10.0).df.select("event_id", r6("v").alias("v"))
+
+
+@register("cumulative_prod_unkeyed", "select event_id, round(product(1 + (event_id % 5 - 2) / 1000.0) over (order by event_id rows between unbounded preceding and current row), 9) as v from events")
+def cumulative_prod_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_id", (1 + (F.col("event_id") % 5 - 2) / 1000.0).alias("v"))
+    return Frame(df, "event_id").cumulative("prod").df.select("event_id", F.round("v", 9).alias("v"))
+
+
+@register("asof_join_unkeyed", "select e.event_id, (select max(o_orderdate) from orders where o_orderdate <= e.ts) as last_order from events e")
+def asof_join_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "events").select("event_id", "ts")
+    right = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast(left.schema["ts"].dataType).alias("ts"), F.col("o_orderdate").alias("last_order"))
+    return combine.asof_join(left, right, "ts", [], ["last_order"]).select("event_id", "last_order")
+
+
+@register("rolling_product", "select event_id, case when count(*) over w >= 5 then round(product(1 + value / 100) over w, 6) end as v from events window w as (partition by event_type order by ts, event_id rows between 4 preceding and current row)")
+def rolling_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = events(spark, sf_dir)
+    return f.assign(value=1 + F.col("value") / 100).rolling("product", 5, ["value"]).df.select("event_id", r6("value").alias("v"))
+
+
+# labels, positions and pairs with nulls and repeats
+
+
+@register("idx_extremes", "select l_returnflag, min(k) filter (l_shipdate = hi) as last_mode_at, min(k) filter (l_shipdate = lo) as first_mode_at from (select l_returnflag, l_shipdate, max(l_shipdate) over (partition by l_returnflag) as hi, min(l_shipdate) over (partition by l_returnflag) as lo, row_number() over (order by " + LINE_SQL + ") - 1 as k from lineitem) group by 1")
+def idx_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_position(table(spark, sf_dir, "lineitem").select(*LINE, "l_returnflag"), LINE, "k")
+    at = lambda name: aggregate.down(name, F.col("l_shipdate"), pos=F.col("k"))
+    return rows.groupBy("l_returnflag").agg(at("idx_max").alias("last_mode_at"), at("idx_min").alias("first_mode_at"))
+
+
+@register("cov_ddof", "select l_returnflag, round(covar_samp(l_quantity, l_extendedprice), 3) as c1, round(covar_pop(l_quantity, l_extendedprice) * count(*) / (count(*) - 2), 3) as c2 from lineitem group by 1")
+def cov_ddof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    cols = [F.round(aggregate.down("cov", q, other=p, ddof=d, min_periods=5), 3).alias(f"c{d}") for d in (1, 2)]
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*cols)
+
+
+_LABELS = "with a as (select case when c_custkey % 10 = 0 then null else c_custkey end as k from customer), b as (select case when s_suppkey % 3 = 0 then null else s_suppkey end as k from supplier) "
+
+
+for _name, _op, _sql in (
+    ("intersection", combine.label_intersection, "select k from a where exists (select 1 from b where b.k is not distinct from a.k)"),
+    ("difference", combine.label_difference, "select k from a where not exists (select 1 from b where b.k is not distinct from a.k)"),
+    ("symmetric_difference", combine.label_symmetric_difference, "select k from a where not exists (select 1 from b where b.k is not distinct from a.k) union all select k from b where not exists (select 1 from a where a.k is not distinct from b.k)"),
+):
+
+    def _labels(spark: SparkSession, sf_dir: str, op: Callable = _op) -> DataFrame:
+        a = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 10 != 0, F.col("c_custkey")).alias("k"))
+        b = table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey")).alias("k"))
+        return op(a, b, "k")
+
+    register(f"index_{_name}_nulls", _LABELS + _sql)(_labels)
+
+
+@register("update_repeated_labels", "select o_orderkey, coalesce(p, o_totalprice) as o_totalprice from orders left join (select l_orderkey, arg_max(l_extendedprice, l_linenumber * 100000000.0 + l_extendedprice) as p from lineitem group by 1) on o_orderkey = l_orderkey")
+def update_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"), "l_linenumber")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    last = changes.select("o_orderkey", "o_totalprice", "l_linenumber")
+    return combine.update(df.withColumn("l_linenumber", F.lit(0)), last, ["o_orderkey"], ["l_linenumber", "o_totalprice"]).select("o_orderkey", "o_totalprice")
+
+
+# element-wise, shape and generators
+
+
+@register("comparisons", "select o_orderkey, " + ", ".join(f"o_totalprice {op} 150000 as {n}" for n, op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">="))) + " from orders")
+def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    f = Frame(out, "o_orderkey")
+    return combine.concat_columns([f.compare(150000, how).df.withColumnRenamed("o_totalprice", how) for how in ("eq", "ne", "lt", "le", "gt", "ge")], ["o_orderkey"], "inner")
+
+
+_WITH_NULLS = "with e as (select event_id, case when event_id % 3 = 0 then null when event_id % 5 = 0 then 'nan'::double when event_id % 7 = 0 then 'inf'::double else value end as v, case when event_id % 2 = 0 then null else event_id % 4 = 1 end as b from events) "
+
+
+@register("null_predicates", _WITH_NULLS + "select event_id, v is null as isnull, v is not null as valid, (v is null) or isnan(v) as nan_is_null, case when v is not null then isfinite(v) end as finite, case when v is not null then isinf(v) end as inf, coalesce(b, true) as t, not b as inv from e")
+def null_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    v = F.when(e % 3 == 0, None).when(e % 5 == 0, float("nan")).when(e % 7 == 0, float("inf")).otherwise(F.col("value"))
+    df = table(spark, sf_dir, "events").select("event_id", v.alias("v"), F.when(e % 2 != 0, e % 4 == 1).alias("b"))
+    v, b = F.col("v"), F.col("b")
+    return df.select("event_id", L.is_null(v).alias("isnull"), L.is_valid(v).alias("valid"), L.is_null(v, True).alias("nan_is_null"), L.is_finite(v).alias("finite"), L.is_inf(v).alias("inf"), F.when(b.isNull(), True).otherwise(b).alias("t"), L.invert(b).alias("inv"))
+
+
+@register("kleene_logic", "select event_id, a and b as and_, a or b as or_, a and not b as and_not from (select event_id, case when event_id % 3 = 0 then null else event_id % 2 = 0 end as a, case when event_id % 5 = 0 then null else event_id % 7 < 3 end as b from events)")
+def kleene_logic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    a, b = F.when(e % 3 != 0, e % 2 == 0), F.when(e % 5 != 0, e % 7 < 3)
+    return table(spark, sf_dir, "events").select("event_id", L.and_kleene(a, b).alias("and_"), L.or_kleene(a, b).alias("or_"), L.and_not_kleene(a, b).alias("and_not"))
+
+
+@register("reverse_arithmetic", "select c_custkey, round(1000 - c_acctbal, 6) as sub, round(3 * c_acctbal, 6) as mul, round(-c_acctbal, 6) as neg, round(pow(c_acctbal, 2), 4) as pow from customer")
+def reverse_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Frame(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("c_acctbal")), "c_custkey")
+    out = (1000 - f).df.select("c_custkey", r6("c_acctbal").alias("sub"))
+    for name, g in (("mul", 3 * f), ("neg", -f), ("pow", f**2)):
+        out = out.join(g.df.select("c_custkey", F.round("c_acctbal", 4 if name == "pow" else 6).alias(name)), "c_custkey")
+    return out
+
+
+@register("frame_shape", "select p_partkey as k, p_size::double as x_p_size, p_name as x_name from part")
+def frame_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Frame(table(spark, sf_dir, "part"), "p_partkey")[["p_name", "p_size", "p_type"]].drop("p_type").rename({"p_name": "name"}).cast({"p_size": "double"})
+    return f.add_prefix("x_").rename({"p_partkey": "k"}).sort_columns().df
+
+
+@register("frame_assign", "select s_suppkey, s_name, s_acctbal * 2 as twice, 7 as seven from supplier")
+def frame_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Frame(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "s_suppkey")
+    return f.assign(twice=F.col("s_acctbal") * 2, seven=F.lit(7)).drop("s_acctbal").df
+
+
+@register("frame_flatten", "select n_name as value from nation union all select n_nationkey::varchar || '!' from nation")
+def frame_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(F.col("n_nationkey").cast("string"), F.lit("!")).alias("mark"))
+    return Frame(df, "n_nationkey").flatten()

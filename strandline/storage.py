@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a local folder where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new path under spark.checkpoint.dir; where that is unset, under a local folder if all runs on one machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(at or LOCAL).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str = "table") -> DataFrame:
