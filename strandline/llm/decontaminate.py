@@ -28,7 +28,7 @@ from ._common import Folder, discard, few, fresh, scratch, ship, stored
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 SAMPLE = 16
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 
 
 def words(text: str | None) -> list[bytes]:
