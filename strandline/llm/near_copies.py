@@ -36,9 +36,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 SIDE = 32
 BITS = SIDE * SIDE
 SEGMENTS = 3 * SIDE
-BLOCK = 1 << 22  # pairs that are compared at once
+BLOCK = 1 << 18  # pairs that are compared at once
 EXACT_BELOW = 64  # shingles; the bits of smaller sets are no normal approximation
-HELD = 1 << 20  # rows of one half's group beyond which long runs are no longer held
+HELD = 1 << 19  # rows of one half's group beyond which long runs are no longer held
 _DRAWN = np.random.default_rng(20240501).integers(0, 1 << 64, (2, BITS // 64), dtype=np.uint64) | np.uint64(1)
 _DIAGONALS = np.add.outer(np.arange(SIDE), np.arange(SIDE)) % SIDE * SIDE + np.arange(SIDE)  # into the columns: row i of diagonal k has bit (k + i) % 32
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()  # a byte's bits, one in each byte
@@ -102,11 +102,13 @@ def with_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
-            got = [shingles(x.as_py(), shingle) for x in b.column(2)]
-            ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) if len(s) else 0 for s in got], dtype=np.uint64).view(np.int64)
-            fps = pa.array([fingerprint(s).tobytes() if len(s) else None for s in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array([len(s) for s in got], pa.int32()), fps], names=["doc_id", "th", "id", "size", "fp"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                got = [shingles(x.as_py(), shingle) for x in b.column(2)]
+                ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) if len(s) else 0 for s in got], dtype=np.uint64).view(np.int64)
+                fps = pa.array([fingerprint(s).tobytes() if len(s) else None for s in got], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array([len(s) for s in got], pa.int32()), fps], names=["doc_id", "th", "id", "size", "fp"])
 
     ship(docs.sparkSession)
     return docs.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, id long, size int, fp binary")
@@ -354,8 +356,7 @@ def classes(sets: DataFrame, docs: DataFrame, at: Folder, shingle: int = SHINGLE
         sized = found.distinct().join(n, "a").join(m, "b")
         found = at.stored(sized.select("a", "b", F.expr(f"bits <= {near} and least(na, nb) >= {EXACT_BELOW}").alias("sure")))
         new = found.where("sure").select("a", "b").unionAll(_checked(found.where("not sure"), docs, sets, shingle, similarity, at))
-        edges = edges.unionAll(at.stored(new))
-        roots = _classes(edges, at)
+        roots = _classes(at.stored(new).unionAll(roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))), at)
     return roots
 
 
