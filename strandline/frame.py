@@ -405,8 +405,6 @@ class Frame:
         return self._lagged(lambda w: {c: windows.pct_change(F.col(c), n, w) for c in self.values}, n)
 
     def ewm(self, column: str, stat: str = "mean", other: str | None = None, bias: bool = False, name: str | None = None, **decay: Any) -> Frame:
-        if not self.keys:
-            raise ValueError("weighted statistics run key by key: give the frame keys")
         return self._new(ewm.ewm(self.df, column, self.order, self.keys, ewm.Decay(**decay), stat, name, other, bias))
 
     # time

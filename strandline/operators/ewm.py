@@ -1,19 +1,22 @@
 """Exponentially weighted statistics, with the recursion of pandas: adjust, ignore_na, min_periods, bias.
 
-`ewm` sends each key's rows to one Arrow batch; `ewm_folded` gathers a key's values into an array and folds it inside
-the JVM, for short keys. The recursion needs the rows of one key in one task.
+`ewm` runs on blocks of positions, each preceded by the rows that still count; `ewm_folded` gathers a key's values into
+an array and folds it inside the JVM, for short keys.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import operator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..storage import ship
+from .position import BLOCK, filled, running, with_position
 
 
 @dataclass(frozen=True)
@@ -86,80 +89,105 @@ def ewm_folded(df: DataFrame, value: str, order: list[str], keys: list[str], d:
     return pairs.select("p.__rows.__row.*", F.col("p.__out").alias(name))
 
 
-def _sums(x: list, d: Decay) -> Iterator[float | None]:
-    total, n, keep = 0.0, 0, 1 - d.rate
-    for a in x:
-        if a is not None or not d.ignore_na:
-            total *= keep
-        if a is not None:
-            total, n = total + a, n + 1
-        yield total if n >= max(d.min_periods, 1) else None
-
-
-def _moments(x: list, y: list, d: Decay, stat: str, bias: bool) -> Iterator[float | None]:
-    """var, std, cov or corr after each row; both values must be valid to count."""
-    keep, new = 1 - d.rate, 1.0 if d.adjust else d.rate
-    mx = my = 0.0
-    cxy = cxx = cyy = 0.0
-    sw = sw2 = old = 0.0
-    n = 0
-    for a, b in zip(x, y, strict=True):
-        ok = a is not None and b is not None and not (math.isnan(a) or math.isnan(b))
-        if n == 0:
-            if ok:
-                n, mx, my, sw, sw2, old = 1, a, b, 1.0, 1.0, 1.0
-        elif ok or not d.ignore_na:
-            sw, sw2, old = sw * keep, sw2 * keep * keep, old * keep
-            if ok:
-                n += 1
-                px, py = mx, my
-                t = old + new
-                mx, my = (old * mx + new * a) / t, (old * my + new * b) / t
-                cxy = (old * (cxy + (px - mx) * (py - my)) + new * (a - mx) * (b - my)) / t
-                cxx = (old * (cxx + (px - mx) ** 2) + new * (a - mx) ** 2) / t
-                cyy = (old * (cyy + (py - my) ** 2) + new * (b - my) ** 2) / t
-                sw, sw2, old = sw + new, sw2 + new * new, t
-                if not d.adjust:
-                    sw, sw2, old = sw / old, sw2 / (old * old), 1.0
-        if n < max(d.min_periods, 1):
-            yield None
-            continue
-        if stat == "corr":
-            yield cxy / math.sqrt(cxx * cyy) if cxx > 0 and cyy > 0 else None
-            continue
-        if bias:
-            out = cxy
-        else:
-            top, under = sw * sw, sw * sw - sw2
-            out = top / under * cxy if under > 0 else None
-        yield out if stat != "std" or out is None else math.sqrt(max(out, 0.0))
-
-
-def ewm(df: DataFrame, value: str, order: list[str], keys: list[str], d: Decay, stat: str, name: str | None = None, other: str | None = None, bias: bool = False) -> DataFrame:
-    """df with mean, sum, var, std, cov or corr (cov and corr against `other`) in order within keys; linear in a key's rows."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
+E_FOLDS = 42.0  # a weight that fell by so many is below the rounding of a double
+
+
+def _scan(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """s[i] = c[i] * s[i - 1] + d[i] from s[-1] = 0, for 0 <= c <= 1: sums of d over the running product, so far as that is no tiny number."""
+    out, s, at = np.empty(len(d)), 0.0, 0
+    logs = np.cumsum(np.log(np.maximum(c, 1e-300)))
+    while at < len(d):
+        s = out[at] = c[at] * s + d[at]
+        end = int(np.searchsorted(-logs, 230 - logs[at], side="right"))
+        if end > at + 1:
+            fell = np.exp(logs[at + 1 : end] - logs[at])
+            out[at + 1 : end] = fell * (s + np.cumsum(d[at + 1 : end] / fell))
+            s = out[end - 1]
+        at = max(end, at + 1)
+    return out
+
+
+def _weighted(x: np.ndarray, y: np.ndarray, gaps: np.ndarray, first: np.ndarray, d: Decay, stat: str, bias: bool) -> np.ndarray:
+    """The statistic after each of these valid rows; gaps: steps since the last valid row, first: whether a row begins its key."""
+    aged = np.where(first, 0.0, (1 - d.rate) ** gaps)
+    if stat == "sum":
+        return _scan(aged, x)
+    if d.adjust:
+        total = _scan(aged, np.ones(len(x)))
+        c = aged * np.concatenate([[0.0], total[:-1]]) / total
+    else:
+        c = aged / (aged + d.rate)
+    c = np.where(first, 0.0, c)
+    mean = lambda v: _scan(c, (1 - c) * v)
+    mx, my = mean(x), mean(y)
+    if stat == "mean":
+        return mx
+
+    off = lambda v, m: v - np.concatenate([[0.0], m[:-1]])
+    dx, dy = off(x, mx), off(y, my)  # from the mean before; c is 0 where there is none
+    moment = lambda u, v: _scan(c, c * (1 - c) * u * v)
+    cov = moment(dx, dy)
+    if stat == "corr":
+        spread = moment(dx, dx) * moment(dy, dy)
+        return np.where(spread > 0, cov / np.sqrt(np.where(spread > 0, spread, 1.0)), np.nan)
+    if not bias:
+        squares = _scan(c * c, (1 - c) ** 2)  # of the weights, as shares of their sum
+        cov = np.where(squares < 1, cov / np.where(squares < 1, 1 - squares, 1.0), np.nan)
+    return np.sqrt(np.maximum(cov, 0.0)) if stat == "std" else cov
+
+
+def ewm(df: DataFrame, value: str, order: list[str], keys: list[str], d: Decay, stat: str, name: str | None = None, other: str | None = None, bias: bool = False, block: int = BLOCK) -> DataFrame:
+    """df with mean, sum, var, std, cov or corr (cov and corr against `other`) in order, within keys if there are any.
+
+    Valid rows are taken in blocks of positions. Each block is preceded by the rows whose weights still count at its
+    start, so a key of any size is split; a block grows only where the decay reaches beyond it. Nulls and NaN are
+    missing values: their rows take the result of the last valid one, a sum's decayed by the rows since.
+    """
     if stat not in ("mean", "sum", "var", "std", "cov", "corr"):
         raise ValueError(f"unknown statistic {stat!r}")
     if stat in ("cov", "corr") and other is None:
         raise ValueError(f"{stat} needs another column")
     name = name or f"ewm_{stat}"
     ship(df.sparkSession)
-    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+    keep = 1 - d.rate
+    reach = max(math.ceil(E_FOLDS / -math.log(keep)) if keep > 0 else 1, d.min_periods, 1)
+    block = max(block, reach)
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    rows = with_position(df, [*keys, *order], "__pos").withColumns({"__x": number(value), "__y": number(other or value)})
+    missing = F.col("__x").isNull() | F.col("__y").isNull()
+    gaps = not rows.where(missing).isEmpty()
+    if gaps:
+        rows = running(rows, "__pos", {"__rank": (F.when(missing, 0).otherwise(1), F.sum, operator.add)})
+        valid = rows.where(~missing).withColumn("__rank", F.col("__rank") - 1)
+    else:
+        valid = rows.withColumn("__rank", F.col("__pos"))
+    own = F.floor(F.col("__rank") / block)
+    late = F.pmod(F.col("__rank"), F.lit(block)) >= block - reach
+    spread = valid.withColumn("__own", own).withColumn("__block", F.explode(F.array_compact(F.array(own, F.when(late, own + 1)))))
+    spread = spread.withColumn("__mine", F.col("__own") == F.col("__block")).drop("__own", "__rank")
+    held = [*df.columns, "__pos", "__x", "__y"]
+    schema = StructType([*[spread.schema[c] for c in held], StructField(name, DoubleType())])
 
     def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        if stat == "mean":
-            kind = {"alpha": d.rate, "adjust": d.adjust, "ignore_na": d.ignore_na, "min_periods": d.min_periods}
-            pdf[name] = pdf[value].astype("float64").ewm(**kind).mean()
-            return pdf
-        clean = lambda s: [None if v is None or v != v else float(v) for v in s]
-        x = clean(pdf[value])
-        if stat == "sum":
-            pdf[name] = list(_sums(x, d))
-            return pdf
-        y = clean(pdf[other]) if other else x
-        pdf[name] = list(_moments(x, y, d, stat, bias))
-        return pdf
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+        pdf = pdf.sort_values("__pos", kind="stable").reset_index(drop=True)
+        key = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        steps = np.diff(pdf["__pos"].to_numpy(), prepend=0) if not d.ignore_na else np.ones(len(pdf))
+        out = _weighted(pdf["__x"].to_numpy(), pdf["__y"].to_numpy(), steps.astype("float64"), first, d, stat, bias)
+        at = np.arange(len(pdf))
+        seen = at - np.maximum.accumulate(np.where(first, at, 0)) + 1
+        pdf[name] = np.where(seen >= d.min_periods, out, np.nan)
+        return pdf.loc[pdf["__mine"], [*held, name]]
+
+    out = spread.groupBy("__block").applyInPandas(run, schema)
+    out = out.withColumn(name, F.nanvl(name, F.lit(None).cast("double")))
+    if not gaps:
+        return out.select(*df.columns, name)
+    label = F.struct(F.lit(0).alias("k"), *keys)
+    both = out.unionByName(rows.where(missing).select(*held, F.lit(None).cast("double").alias(name)))
+    last = F.when(~missing, F.struct(label.alias("key"), F.col("__pos").alias("at"), F.col(name).alias("v")))
+    both = filled(both, "__pos", {"__last": last})
+    v = F.col("__last")["v"]
+    if stat == "sum" and not d.ignore_na:
+        v = v * F.pow(F.lit(keep), F.col("__pos") - F.col("__last")["at"])
+    return both.withColumn(name, F.when(F.col("__last")["key"].eqNullSafe(label), v)).select(*df.columns, name)

@@ -260,14 +260,24 @@ def ewm_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ewm.ewm_folded(df, "value", ["ts", "event_id"], ["user_id"], ewm.Decay(alpha=0.5), "sum", "x").select("user_id", "ts", "event_id", r6("x").alias("x"))
 
 
-for _stat in ("var", "std", "cov", "corr"):
+_EWM_SQL = (
+    f"with recursive e as (select event_type, ts, event_id, value as x, %s as y, row_number() over ({_W}) as k from events), "
+    "r as (select event_type, ts, event_id, k, x, y, 1.0::double as w, 1.0::double as w2, x as mx, y as my, 0.0::double as cxy, 0.0::double as cxx, 0.0::double as cyy from e where k = 1 union all "
+    "select event_type, ts, event_id, k, x, y, t, w2 * 4.0 / 9 + 1, nx, ny, (t - 1) / t * (cxy + (mx - nx) * (my - ny)) + (x - nx) * (y - ny) / t, (t - 1) / t * (cxx + (mx - nx) ** 2) + (x - nx) ** 2 / t, (t - 1) / t * (cyy + (my - ny) ** 2) + (y - ny) ** 2 / t from "
+    "(select *, ((t - 1) * mx + x) / t as nx, ((t - 1) * my + y) / t as ny from (select e.event_type, e.ts, e.event_id, e.k, e.x, e.y, r.w2, r.mx, r.my, r.cxy, r.cxx, r.cyy, r.w * (2.0::double / 3) + 1 as t from r join e on e.event_type = r.event_type and e.k = r.k + 1))) "
+    "select event_type, ts, event_id, round(%s, 6) as x from r"
+)
+_UNBIASED = "case when k > 1 then w * w / (w * w - w2) * cxy end"
+_EWM_STATS = {"var": ("x", _UNBIASED), "std": ("x", f"sqrt({_UNBIASED})"), "cov": ("(event_id % 13)::double", _UNBIASED), "corr": ("(event_id % 13)::double", "case when cxx * cyy > 0 then cxy / sqrt(cxx * cyy) end")}
+
+for _stat, (_y, _out) in _EWM_STATS.items():
 
     def _ewm(spark: SparkSession, sf_dir: str, stat: str = _stat) -> DataFrame:
         f = events(spark, sf_dir)
         f = Frame(f.df.withColumn("y", (F.col("event_id") % 13).cast("double")), "ts", ["ts", "event_id"], ["event_type"])
         return f.ewm("value", stat, other="y" if stat in ("cov", "corr") else None, span=5, name="x").df.select("event_type", "ts", "event_id", r6("x").alias("x"))
 
-    register(f"ewm_{_stat}")(_ewm)
+    register(f"ewm_{_stat}", _EWM_SQL % (_y.replace("x", "value"), _out))(_ewm)
 
 # aggregates
 
