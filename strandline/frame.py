@@ -13,7 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StructType
 
 from .functions import logic as L
 from .functions import math as M
@@ -285,12 +285,19 @@ class Frame:
     def agg(self, *names: str, **options: Any) -> DataFrame:
         return aggregate.agg_columns(self.df, list(names), self.values, order=self.order, **options)
 
+    def quantile(self, column: str, q: float = 0.5, interpolation: str = "linear") -> DataFrame:
+        return aggregate.quantiles(self.df, column, q, interpolation=interpolation)
+
     def agg_rows(self, name: str, **options: Any) -> Frame:
         """One value for each row, over its columns."""
         return self._new(self.df.select(*dict.fromkeys([*self.index, *self.keys, *self.order]), aggregate.across(name, [F.col(c) for c in self.values], **options).alias(name)))
 
-    def group_by(self, *by: str) -> Grouped:
-        return Grouped(self, list(by))
+    def group_by(self, *by: str | Column) -> Grouped:
+        """By columns, or by expressions that are no columns of the frame: these become __groupby_key_0__ and so on."""
+        made = {f"__groupby_key_{k}__": c for k, c in enumerate(c for c in by if isinstance(c, Column))}
+        left = iter(made)
+        frame = self._new(self.df.withColumns(made)) if made else self
+        return Grouped(frame, [next(left) if isinstance(c, Column) else c for c in by])
 
     def mode(self, column: str, n: int = 1, skip_nulls: bool = True) -> DataFrame:
         return aggregate.mode(self.df, column, n=n, skip_nulls=skip_nulls)
@@ -322,6 +329,30 @@ class Frame:
             rows = over_blocks(with_position(self.df, self.order, "__pos"), "__pos", max(0, -first), max(0, last), gather).drop("__pos")
         return self._applied(rows, f, name, max(min_periods, 1))
 
+    def rolling_apply_frame(self, f: Callable[[pd.DataFrame], dict], columns: list[str], size: int, schema: str, name: str = "applied", min_periods: int | None = None, center: bool = False, closed: str = "right") -> Frame:
+        """A Python function of each window's rows (a frame of `columns`) that returns one row as a dict: a struct column.
+
+        Null where the window has fewer rows than min_periods (the size by default).
+        """
+        spec = windows.Rolling(size, min_periods, center, closed)
+        first, last = spec.bounds()
+        gather = lambda w: {"__rows": F.collect_list(F.struct(*columns)).over(spec.frame(w))}
+        if self.keys:
+            rows = self.df.withColumns(gather(self._window()))
+        else:
+            rows = over_blocks(with_position(self.df, self.order, "__pos"), "__pos", max(0, -first), max(0, last), gather).drop("__pos")
+        ship(self.df.sparkSession)
+        least = max(spec.least, 1)
+
+        @F.pandas_udf(schema)
+        def run(s: pd.Series) -> pd.DataFrame:
+            made = [f(pd.DataFrame(list(v), columns=columns)) if len(v) >= least else {} for v in s]
+            return pd.DataFrame(made, columns=fields)
+
+        fields = StructType.fromDDL(schema).names
+        out = rows.withColumn(name, run("__rows")).withColumn(name, F.when(F.size("__rows") >= least, F.col(name)))
+        return self._new(out.drop("__rows"))
+
     def expanding_apply(self, f: Callable[[list], float], column: str, name: str = "applied", min_periods: int = 1) -> Frame:
         """As rolling_apply, over all rows so far of a key; for keys of up to some thousand rows."""
         rows = self._windowed({"__values": lambda w: F.collect_list(column).over(windows.Expanding(min_periods).frame(w))}).df
@@ -480,15 +511,58 @@ class Grouped:
     def mode(self, column: str, n: int = 1) -> DataFrame:
         return aggregate.mode(self.frame.df, column, self.by, n)
 
-    def apply(self, f: Callable, schema: str) -> DataFrame:
-        """A Python function on each group as a pandas frame in the frame's order; a group must fit one task."""
+    def quantile(self, column: str, q: float = 0.5, interpolation: str = "linear") -> DataFrame:
+        return aggregate.quantiles(self.frame.df, column, q, self.by, interpolation)
+
+    def groups(self) -> DataFrame:
+        """A row for each row of the frame: its key, the key's place by first appearance (group) and the row's place (pos)."""
         order = self.frame.order
+        rows = with_position(self.frame.df.select(*dict.fromkeys([*self.by, *order])), order, "pos")
+        first = rows.groupBy(*self.by).agg(F.min("pos").alias("__first"))
+        places = with_position(first, ["__first"], "group").select(*[F.col(c).alias(f"__k_{c}") for c in self.by], "group")
+        same = F.lit(True)
+        for c in self.by:
+            same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        return rows.join(places, same).select(*self.by, "group", "pos")
+
+    def apply(self, f: Callable, schema: str, shape: str = "frame", group_keys: bool = True) -> DataFrame:
+        """A Python function on each group as a pandas frame in the frame's order; a group must fit one task.
+
+        shape says what f returns: a frame with the schema's columns; or, with a schema of the result alone (no keys), a
+        scalar, a row (a dict of the columns), a series of values with the rows' order (its place in the group becomes
+        `pos`) or rows, a frame. The keys are put in front of all but `frame`, unless group_keys is off.
+        """
+        order, by = self.frame.order, self.by
         ship(self.frame.df.sparkSession)
-
-        def run(pdf):
-            return f(pdf.sort_values(order, kind="stable") if order else pdf)
-
-        return self.frame.df.groupBy(*self.by).applyInPandas(run, schema)
+        if shape == "frame":
+
+            def whole(pdf):
+                return f(pdf.sort_values(order, kind="stable") if order else pdf)
+
+            return self.frame.df.groupBy(*by).applyInPandas(whole, schema)
+        if shape not in ("scalar", "row", "series", "rows"):
+            raise ValueError(f"unknown shape {shape!r}")
+        fields = StructType.fromDDL(schema)
+        kept = [self.frame.df.schema[c] for c in by] if group_keys else []
+        place = StructType.fromDDL("pos bigint").fields if shape == "series" else []
+        names = [x.name for x in [*kept, *place, *fields]]
+
+        def run(key, pdf):
+            got = f(pdf.sort_values(order, kind="stable") if order else pdf)
+            if shape == "scalar":
+                out = pd.DataFrame({fields.names[0]: pd.Series([got], dtype=object)})
+            elif shape == "row":
+                out = pd.DataFrame([got], columns=fields.names)
+            elif shape == "series":
+                out = pd.DataFrame({"pos": range(len(got)), fields.names[0]: list(got)})
+            else:
+                out = got.reset_index(drop=True)
+            for c, k in zip(by, key, strict=True):
+                if group_keys:
+                    out[c] = pd.Series([k] * len(out), index=out.index, dtype=pdf[c].dtype)
+            return out[names]
+
+        return self.frame.df.groupBy(*by).applyInPandas(run, StructType([*kept, *place, *fields]))
 
     def rollup(self, *names: str, columns: list[str] | None = None) -> DataFrame:
         cols = [aggregate.down(n, F.col(v)).alias(f"{v}_{n}") for v in columns or self._values() for n in names]

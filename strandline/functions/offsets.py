@@ -236,6 +236,13 @@ class WeekOfMonth(Offset):
         first = dt.date(y, m + 1, 1)
         return first + DAY * ((self.weekday - first.weekday()) % 7 + 7 * self.week)
 
+    def _anchor_column(self, k: Column) -> Column:
+        first = F.make_date(F.floor(k / 12).cast("int"), (F.pmod(k, F.lit(12)) + 1).cast("int"), F.lit(1))
+        if self.week < 0:
+            last = F.last_day(first)
+            return F.date_sub(last, F.pmod(F.weekday(last) - self.weekday, F.lit(7)))
+        return F.date_add(first, F.pmod(F.lit(self.weekday) - F.weekday(first), F.lit(7)) + 7 * self.week)
+
     def on_offset(self, t: dt.datetime) -> bool:
         return self._anchor(t.year * 12 + t.month - 1) == t.date()
 
@@ -249,13 +256,7 @@ class WeekOfMonth(Offset):
         return dt.datetime.combine(self._anchor(k), t.time())
 
     def column(self, c: Column) -> Column:
-        def anchor(k: Column) -> Column:
-            first = F.make_date(F.floor(k / 12).cast("int"), (F.pmod(k, F.lit(12)) + 1).cast("int"), F.lit(1))
-            if self.week < 0:
-                last = F.last_day(first)
-                return F.date_sub(last, F.pmod(F.weekday(last) - self.weekday, F.lit(7)))
-            return F.date_add(first, F.pmod(F.lit(self.weekday) - F.weekday(first), F.lit(7)) + 7 * self.week)
-
+        anchor = self._anchor_column
         day, k = F.to_date(c), (F.year(c) * 12 + F.month(c) - 1).cast("int")
         step = F.when(anchor(k) <= day, self.n).otherwise(self.n - 1) if self.n > 0 else F.when(anchor(k) >= day, self.n).otherwise(self.n + 1)
         moved = F.datediff(anchor(k + step), day)

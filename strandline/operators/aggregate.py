@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .position import with_position
 from .windows import quantile_of
 
 
@@ -155,3 +156,24 @@ def mode(df: DataFrame, value: str, by: list[str] | None = None, n: int = 1, ski
     if not by:
         return counts.orderBy(*order).limit(n)
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def quantiles(df: DataFrame, value: str, q: float, by: list[str] | None = None, interpolation: str = "linear") -> DataFrame:
+    """Exact quantile of a column's valid values, for the frame or each key, by linear, lower, higher, nearest or midpoint.
+
+    Values are ranked by a range-partitioned sort and the two rows beside the quantile picked by position, so that no
+    task holds a group. A key without valid values, and an empty frame, give no row and one null.
+    """
+    by = by or []
+    ranked = with_position(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")), [*by, "__v"], "__pos")
+    sizes = ranked.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__pos").alias("__first"))
+    sizes = sizes.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__first", ((F.col("__n") - 1) * F.lit(float(q))).alias("__at"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by], F.lit(True))
+    at, place = F.col("__at"), F.col("__pos") - F.col("__first")
+    joined = ranked.join(sizes if by else F.broadcast(sizes), same)
+    low, high, near = (F.max(F.when(place == f(at), F.col("__v"))) for f in (F.floor, F.ceil, F.bround))
+    ways = {"lower": low, "higher": high, "nearest": near, "midpoint": (low + high) / 2, "linear": low + (high - low) * (F.max(at) - F.floor(F.max(at)))}
+    if interpolation not in ways:
+        raise ValueError(f"unknown interpolation {interpolation!r}")
+    beside = joined.where((place >= F.floor(at)) & (place <= F.ceil(at)))
+    return beside.groupBy(*by).agg(ways[interpolation].alias(value))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .position import filled, with_position
 
@@ -42,8 +43,25 @@ def reindex(df: DataFrame, labels: DataFrame, index: str, fill=None) -> DataFram
     return out.orderBy(F.asc_nulls_last(index))
 
 
-def concat_rows(frames: list[DataFrame], join: str = "outer", sort_columns: bool = True) -> DataFrame:
-    """All rows, columns matched by name: those of any frame (outer) or of all (inner)."""
+def _widest(frames: list[DataFrame], name: str) -> str:
+    """A type that holds the order column of every frame: theirs where they agree, else double for numbers and string for the rest."""
+    kinds = {f.select(f"__at.{name}").schema[0].dataType for f in frames}
+    if len(kinds) == 1:
+        return kinds.pop().simpleString()
+    return "double" if all(isinstance(k, NumericType) for k in kinds) else "string"
+
+
+def concat_rows(frames: list[DataFrame], join: str = "outer", sort_columns: bool = True, ignore_index: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """All rows, columns matched by name: those of any frame (outer) or of all (inner).
+
+    ignore_index: an index column that is replaced by the row's place, frame after frame, each in `order` (the old index).
+    """
+    if ignore_index:
+        at = order or [ignore_index]
+        frames = [f.select(F.struct(F.lit(k).alias("frame"), *at).alias("__at"), *[c for c in f.columns if c != ignore_index]) for k, f in enumerate(frames)]
+        keyed = [f.withColumn("__at", F.struct(F.col("__at.frame"), *[F.col(f"__at.{c}").cast(_widest(frames, c)) for c in at])) for f in frames]
+        out = with_position(concat_rows(keyed, join, sort_columns), ["__at"], ignore_index).drop("__at")
+        return out.select(ignore_index, *[c for c in out.columns if c != ignore_index])
     if not frames:
         raise ValueError("nothing to concatenate")
     if join == "inner":
@@ -73,8 +91,12 @@ def update(df: DataFrame, changes: DataFrame, index: list[str], order: list[str]
     return both.select(*[F.when(F.col("__hit"), F.col(f"__n_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
 
 
-def label_union(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
-    return a.select(index).unionByName(b.select(index)).distinct()
+def label_union(a: DataFrame, b: DataFrame, index: str, order: list[str] | None = None) -> DataFrame:
+    """Labels of either, each once. With order columns (of both), the first seen come first: a's in order, then b's others."""
+    if order is None:
+        return a.select(index).unionByName(b.select(index)).distinct()
+    rows = [f.select(index, F.struct(F.lit(k).alias("side"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("__at")) for k, f in enumerate((a, b))]
+    return rows[0].unionByName(rows[1]).groupBy(index).agg(F.min("__at").alias("__at")).orderBy("__at").select(index)
 
 
 def label_intersection(a: DataFrame, b: DataFrame, index: str) -> DataFrame:

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.offsets import BDay, MonthAnchor, Offset, Tick, Week, parse
+from ..calendars.busday import CBDay
+from ..functions.offsets import BDay, MonthAnchor, Offset, Tick, Week, WeekOfMonth, parse
 from ..functions.temporal import from_wall_micros, wall_micros
 from .aggregate import order_key
 
@@ -84,16 +85,77 @@ def bucket(df: DataFrame, time: str, o: Resample) -> Column:
     elif isinstance(rule, MonthAnchor):
         out = _month(wall, rule, closed, label)
     elif isinstance(rule, BDay):
-        if rule.n != 1 or o.closed not in (None, "left") or o.label not in (None, "left"):
-            raise ValueError("business days have buckets of one day, closed and labelled left")
-        d = F.date_add(F.to_date(wall), 0)
-        onto = F.date_sub(d, F.greatest(F.weekday(d) - 4, F.lit(0)))
-        out = onto.cast("timestamp_ntz")
+        out = _business(df, wall, rule, closed, label)
+    elif isinstance(rule, WeekOfMonth):
+        out = _week_of_month(df, wall, rule, closed, label)
+    elif isinstance(rule, CBDay):
+        out = _open_days(wall, rule, closed, label)
     else:
         raise ValueError(f"no buckets for {rule!r}")
     return F.convert_timezone(F.lit(o.tz), F.lit("UTC"), out) if o.tz else out
 
 
+def _last_moment(wall: Column, closed: str) -> Column:
+    """The time that says which bucket a row is in, if buckets hold their first moment: one microsecond before where they hold their last."""
+    return wall if closed == "left" else from_wall_micros(wall_micros(wall) - 1)
+
+
+def _business(df: DataFrame, wall: Column, rule: BDay, closed: str, label: str) -> Column:
+    """Buckets of n weekdays from the first row's day (or, closed right, n weekdays before it); a weekend is part of its Friday."""
+
+    def ordinal(d: Column) -> Column:
+        days = F.datediff(d, F.lit("1969-12-29"))  # a Monday
+        return 5 * F.floor(days / 7) + F.least(F.pmod(days, F.lit(7)), F.lit(4))
+
+    k = ordinal(F.to_date(_last_moment(wall, closed)))
+    if rule.n > 1:
+        low = df.agg(F.min(F.to_date(wall))).first()[0]
+        start = BDay(1).rollback(dt.datetime.combine(low, dt.time())) if low and closed == "left" else BDay(-rule.n).add(dt.datetime.combine(low, dt.time())) if low else EPOCH
+        origin = ordinal(F.lit(start.date()))
+        k = origin + rule.n * F.floor((k - origin) / rule.n)
+    k = k + (rule.n if label == "right" else 0)
+    return F.date_add(F.lit("1969-12-29").cast("date"), (7 * F.floor(k / 5) + F.pmod(k, F.lit(5))).cast("int")).cast("timestamp_ntz")
+
+
+def _week_of_month(df: DataFrame, wall: Column, rule: WeekOfMonth, closed: str, label: str) -> Column:
+    """Buckets between the given weekday of one month and that of the n-th after; n > 1 counts from the first row's."""
+    t = _last_moment(wall, closed)
+
+    def start_of(c: Column) -> Column:
+        k = (F.year(c) * 12 + F.month(c) - 1).cast("int")
+        return k - F.when(rule._anchor_column(k) > F.to_date(c), 1).otherwise(0)
+
+    k = start_of(t)
+    if rule.n > 1:
+        low = df.agg(F.min(F.to_date(wall))).first()[0] or EPOCH.date()
+        one, back = WeekOfMonth(1, rule.week, rule.weekday), WeekOfMonth(-rule.n, rule.week, rule.weekday)
+        low = (one.rollback if closed == "left" else back.add)(dt.datetime.combine(low, dt.time()))
+        first = low.year * 12 + low.month - 1
+        k = first + rule.n * F.floor((k - first) / rule.n).cast("int")
+    return rule._anchor_column(k + (rule.n if label == "right" else 0)).cast("timestamp_ntz")
+
+
+def _open_days(wall: Column, rule: CBDay, closed: str, label: str) -> Column:
+    """Buckets of one business day of a calendar; days off are part of the open day before."""
+    if rule.n != 1:
+        raise ValueError("custom business days have buckets of one day")
+    off = rule.calendar.holidays
+    run, longest = 0, 0  # the longest run of days off about the calendar's holidays
+    for h in sorted(off):
+        day, run = h, 0
+        while not rule.calendar.is_busday(day):
+            day, run = day - dt.timedelta(days=1), run + 1
+        longest = max(longest, run)
+    reach = max(longest, 7) + 7
+    mask = F.array(*[F.lit(x == "1") for x in rule.calendar.weekmask])
+    closed_days = F.array(*[F.lit(h) for h in off]) if off else F.array().cast("array<date>")
+    is_open = lambda d: F.element_at(mask, F.weekday(d) + 1) & ~F.array_contains(closed_days, d)
+    d = F.to_date(_last_moment(wall, closed))
+    if label == "left":
+        return F.element_at(F.filter(F.sequence(F.date_sub(d, reach), d), is_open), -1).cast("timestamp_ntz")
+    return F.element_at(F.filter(F.sequence(F.date_add(d, 1), F.date_add(d, reach)), is_open), 1).cast("timestamp_ntz")
+
+
 def _week(wall: Column, rule: Week, closed: str, label: str) -> Column:
     """Periods of n weeks that end with the anchor weekday; n > 1 counts from 1970."""
     anchor = 6 if rule.weekday is None else rule.weekday

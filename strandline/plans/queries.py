@@ -19,6 +19,8 @@ from ..functions import temporal as T
 from ..index import Index
 from ..operators import aggregate, combine, ewm, resample, select, windows
 from ..operators.position import with_position
+from ..sources import files, generate
+from ..storage import shared_path
 from .sql import query
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -881,3 +883,154 @@ def frame_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(F.col("n_nationkey").cast("string"), F.lit("!")).alias("mark"))
     return Frame(df, "n_nationkey").flatten()
+
+
+# functions of users, places of groups, exact quantiles
+
+
+@register("apply_scalar", "select c_mktsegment, max(c_acctbal) - min(c_acctbal) as span from customer group by 1")
+def apply_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Frame(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "c_custkey")
+    return f.group_by("c_mktsegment").apply(lambda p: float(p["c_acctbal"].max() - p["c_acctbal"].min()), "span double", "scalar")
+
+
+@register("apply_row", "select o_orderpriority, count(*) as n, max_by(o_totalprice, o_orderkey) as last_price from orders group by 1")
+def apply_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Frame(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_orderkey")
+    return f.group_by("o_orderpriority").apply(lambda p: {"n": len(p), "last_price": p["o_totalprice"].iloc[-1]}, "n bigint, last_price double", "row")
+
+
+@register("apply_series", "select event_type, row_number() over w - 1 as pos, round(sum(value) over w, 4) as total from events window w as (partition by event_type order by event_id)")
+def apply_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Frame(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_id")
+    return f.group_by("event_type").apply(lambda p: p["value"].cumsum(), "total double", "series").withColumn("total", F.round("total", 4))
+
+
+@register("rolling_apply_frame", "select event_id, max(value) over w - min(value) over w as span, count(*) over w as n from events window w as (order by event_id rows between 3 preceding and current row)")
+def rolling_apply_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Frame(table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
+    make = lambda p: {"span": p["value"].max() - p["value"].min(), "n": len(p)}
+    return f.rolling_apply_frame(make, ["value"], 4, "span double, n bigint", min_periods=1).df.select("event_id", "applied.span", "applied.n")
+
+
+@register("groupby_groups", "select c_mktsegment, dense_rank() over (order by first) - 1 as \"group\", pos from (select c_mktsegment, pos, min(pos) over (partition by c_mktsegment) as first from (select c_mktsegment, row_number() over (order by c_custkey) - 1 as pos from customer))")
+def groupby_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Frame(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").group_by("c_mktsegment").groups()
+
+
+@register("groupby_expression", "select year(o_orderdate) as y, round(sum(o_totalprice), 2) as total from orders group by 1")
+def groupby_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = Frame(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), "o_orderkey")
+    out = f.group_by(F.year("o_orderdate").cast("long")).agg("sum", columns=["o_totalprice"])
+    return out.select(F.col("__groupby_key_0__").alias("y"), F.round("o_totalprice", 2).alias("total"))
+
+
+_PLACED = "with p as (select l_returnflag, l_extendedprice::double as v, row_number() over (partition by l_returnflag order by l_extendedprice) - 1 as k, (count(*) over (partition by l_returnflag) - 1) * 0.37::double as h from lineitem where l_extendedprice is not null) "
+_BESIDE = {"lower": "max(case when k = floor(h) then v end)", "higher": "max(case when k = ceil(h) then v end)", "nearest": "max(case when k = round_even(h, 0) then v end)", "midpoint": "(max(case when k = floor(h) then v end) + max(case when k = ceil(h) then v end)) / 2"}
+for _name, _sql in _BESIDE.items():
+
+    def _quantile(spark: SparkSession, sf_dir: str, how: str = _name) -> DataFrame:
+        df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+        return aggregate.quantiles(df, "l_extendedprice", 0.37, ["l_returnflag"], how).select("l_returnflag", F.round("l_extendedprice", 6).alias("q"))
+
+    register(f"groupby_quantile_{_name}", _PLACED + f"select l_returnflag, round({_sql}, 6) as q from p group by 1")(_quantile)
+
+
+@register("ewm_unkeyed", "with recursive e as (select event_id, case when event_id % 7 <> 0 then value end as v, row_number() over (order by event_id) as k from events), r as (select k, event_id, v as m, case when v is null then 0 else 1 end::double as w from e where k = 1 union all select e.k, e.event_id, case when v is null then m when m is null then v else (w * 0.4::double * m + v) / (w * 0.4::double + 1) end, w * 0.4::double + case when v is null then 0 else 1 end from r join e on e.k = r.k + 1) select event_id, round(m, 6) as x from r")
+def ewm_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_events(spark, sf_dir).ewm("v", alpha=0.6, name="x").df.select("event_id", r6("x").alias("x"))
+
+
+# labels and rows of several frames
+
+
+@register("concat_ignore_index", "select row_number() over (order by side, k) - 1 as k, v from (select 0 as side, c_custkey as k, c_acctbal as v from customer union all select 1, s_suppkey, s_acctbal from supplier)")
+def concat_ignore_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select(F.col(k).cast("long").alias("k"), F.col(v).alias("v")) for t, k, v in (("customer", "c_custkey", "c_acctbal"), ("supplier", "s_suppkey", "s_acctbal"))]
+    return combine.concat_rows(parts, ignore_index="k")
+
+
+# bars of weekdays and of a weekday of each month
+
+_THIRD = "make_date(year({d})::bigint, month({d})::bigint, 1) + ((4 - (isodow(make_date(year({d})::bigint, month({d})::bigint, 1)) - 1) + 7) % 7 + 14)::int"
+_HERE, _BEFORE = _THIRD.format(d="o_orderdate"), _THIRD.format(d="(date_trunc('month', o_orderdate) - interval 1 month)")
+register("resample_third_friday", _CAL.format(b=f"case when o_orderdate::date >= {_HERE} then {_HERE} else {_BEFORE} end::timestamp"))(_calendar(O.week_of_month(1, 2, 4)))
+_ORD = "(5 * floor(({d}::date - date '1969-12-29') / 7) + least(({d}::date - date '1969-12-29') % 7, 4))::bigint"
+_FIRST = _ORD.format(d="(select min(o_orderdate) from orders)")
+_START = f"({_FIRST} + 3 * (({_ORD.format(d='o_orderdate')} - {_FIRST}) // 3))"
+register("resample_three_business_days", _CAL.format(b=f"(date '1969-12-29' + (7 * ({_START} // 5) + {_START} % 5)::int)::timestamp"))(_calendar(O.bday(3)))
+
+
+# SQL with time zones
+
+
+@register("sql_self_at_time_zone", "select event_id, (ts at time zone 'UTC') at time zone 'America/New_York' as ny, hour((ts at time zone 'UTC') at time zone 'Asia/Tokyo') as h from events")
+def sql_at_time_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").select("event_id", "ts")
+    return query(df, "SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS ny, CAST(hour((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Tokyo') AS bigint) AS h FROM self")
+
+
+# files written and read back
+
+
+def _files(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = Frame(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), "p_partkey")
+        path = shared_path(spark, kind)
+        df = files.with_index(f, index_label="row")
+        schema = df.schema
+        if kind == "parquet":
+            files.write_parquet(df, path)
+            back = files.read_parquet(spark, path, ["p_name", "row", "p_size", "p_retailprice"])
+        elif kind == "csv":
+            files.write_csv_file(df, path, "|")
+            back = files.read_csv_file(spark, path, "|", schema=schema)
+        else:
+            df.write.json(path)
+            back = files.read_json_file(spark, path, schema)
+        return files.indexed(back, "row").df
+
+    return run
+
+
+for _kind in ("parquet", "csv", "json"):
+    register(f"files_{_kind}", "select p_partkey as row, p_name, p_size, p_retailprice from part")(_files(_kind))
+
+
+# offsets on tables
+
+_NEXT = {
+    "month_start": (O.month_start(), "date_trunc('month', o_orderdate) + interval 1 month"),
+    "quarter_start": (O.quarter_start(), "date_trunc('quarter', o_orderdate) + interval 3 month"),
+    "quarter_end": (O.quarter_end(), "date_trunc('quarter', o_orderdate + interval 1 day) + interval 3 month - interval 1 day"),
+    "year_start": (O.year_start(), "date_trunc('year', o_orderdate) + interval 1 year"),
+    "year_end": (O.year_end(), "date_trunc('year', o_orderdate + interval 1 day) + interval 1 year - interval 1 day"),
+    "two_weeks": (O.Week(2), "o_orderdate + interval 14 day"),
+    "friday": (O.Week(1, 4), "o_orderdate + to_days(((4 - (isodow(o_orderdate) - 1) + 6) % 7 + 1)::int)"),
+    "five_hours": (O.hours(5), "o_orderdate + interval 5 hour"),
+    "months_and_days": (O.date_offset(months=1, days=3), "o_orderdate + interval 1 month + interval 3 day"),
+}
+for _name, (_rule, _sql) in _NEXT.items():
+
+    def _moved(spark: SparkSession, sf_dir: str, rule: O.Offset = _rule) -> DataFrame:
+        return table(spark, sf_dir, "orders").select("o_orderkey", rule.column(F.col("o_orderdate").cast(NTZ)).cast(NTZ).alias("t"))
+
+    register(f"offset_{_name}", f"select o_orderkey, ({_sql})::timestamp as t from orders")(_moved)
+
+
+# generated labels
+
+
+@register("date_range_ticks", "select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-03-01', interval 90 minute)) as index")
+def date_range_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.date_range(spark, dt.datetime(2024, 1, 1), dt.datetime(2024, 3, 1), offset=O.minutes(90)).select(F.col("index").cast(NTZ).alias("index"))
+
+
+@register("date_range_month_ends", "select (d + interval 1 month - interval 1 day)::timestamp as index from (select unnest(generate_series(timestamp '2020-01-01', timestamp '2024-12-01', interval 1 month)) as d)")
+def date_range_month_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.date_range(spark, dt.datetime(2020, 1, 1), dt.datetime(2024, 12, 31), offset="ME")
+
+
+@register("from_range_down", "select 1000 - 7 * k as index from (select unnest(generate_series(0, 142)) as k)")
+def from_range_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.from_range(spark, 1000, 0, -7)

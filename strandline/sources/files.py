@@ -1,13 +1,21 @@
-"""CSV, JSON, Parquet and Arrow IPC in and out. Paths may be on any file system Spark knows (s3a:// among them)."""
+"""CSV, JSON, Parquet and Arrow IPC in and out. Paths may be on any file system Spark knows (s3a:// among them).
+
+Readers and writers take tables; `indexed` makes a frame of what was read and `with_index` a table of a frame to write.
+Spark opens and closes the file systems itself, so nothing has to be set up or torn down.
+"""
 
 from __future__ import annotations
 
 import io
+import warnings
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..frame import Frame
+
 COMPRESSIONS = ("none", "snappy", "gzip", "zstd", "lz4", "brotli")
 
 
@@ -17,6 +25,22 @@ def _columns(df: DataFrame, columns: list[str] | list[int] | None) -> DataFrame:
     return df.select(*[df.columns[c] if isinstance(c, int) else c for c in columns])
 
 
+def indexed(df: DataFrame, index_column: str) -> Frame:
+    """A frame with the named column as its index; without such a column a warning and a frame without index."""
+    if index_column not in df.columns:
+        warnings.warn(f"no column {index_column!r} to be the index", stacklevel=2)
+        return Frame(df)
+    return Frame(df.select(index_column, *[c for c in df.columns if c != index_column]), index_column)
+
+
+def with_index(frame: Frame, include_index: bool = True, index_label: str | None = None) -> DataFrame:
+    """A frame's table to write: its index first, under index_label (or its own name), or left out."""
+    if not include_index:
+        return frame.df.select(*frame.columns)
+    label = index_label if len(frame.index) == 1 and index_label else None
+    return frame.df.select(*[F.col(c).alias(label or c) for c in frame.index], *frame.columns)
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | list[int] | None = None) -> DataFrame:
     """Columns by name or position; only those are read."""
     return _columns(spark.read.parquet(path), columns)
