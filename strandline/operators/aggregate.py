@@ -51,10 +51,19 @@ def _covariance(a: Column, b: Column, ddof: int, least: int) -> Column:
     return F.when((n > ddof) & (n >= least), cov)
 
 
-def down(name: str, c: Column, order: Column | None = None, skip_nulls: bool = True, min_count: int = 0, ddof: int | None = None, q: float = 0.5, interpolation: str = "linear", value=None, pos: Column | None = None, other: Column | None = None, min_periods: int = 1) -> Column:
+def _exact_mean(c: Column) -> Column:
+    """The mean of doubles, whose sum is kept as a decimal with ten places and what is left over, so that it neither drifts nor depends on the rows' order."""
+    c = c.cast("double")
+    high = F.when(F.abs(c) < 1e17, c).cast("decimal(28,10)")
+    rest = c - F.coalesce(high.cast("double"), F.lit(0.0))
+    return (F.coalesce(F.sum(high).cast("double"), F.lit(0.0)) + F.sum(rest)) / F.when(F.count(c) > 0, F.count(c))
+
+
+def down(name: str, c: Column, order: Column | None = None, skip_nulls: bool = True, min_count: int = 0, ddof: int | None = None, q: float = 0.5, interpolation: str = "linear", value=None, pos: Column | None = None, other: Column | None = None, min_periods: int = 1, exact: bool = False) -> Column:
     """One aggregate expression. first and last need `order`; index and idx_min/idx_max need `pos`.
 
     ddof is 0 for variances and 1 for covariances where it is not given; a covariance of fewer than min_periods pairs is null.
+    An exact mean is one of doubles whose sum does not drift, at the price of a decimal sum.
 
     skip_nulls=False makes the result null when any value is; so does min_count with fewer valid values.
     """
@@ -64,7 +73,7 @@ def down(name: str, c: Column, order: Column | None = None, skip_nulls: bool = T
         return (F.min_by if name == "first" else F.max_by)(c, at)
     simple = {
         "sum": lambda: F.sum(c),
-        "mean": lambda: F.avg(c),
+        "mean": lambda: _exact_mean(c) if exact else F.avg(c),
         "min": lambda: F.min(c),
         "max": lambda: F.max(c),
         "product": lambda: F.product(c.cast("double")),

@@ -362,7 +362,7 @@ def groupby_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, q = aggregate.down, F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").agg(
-        F.round(a("sum", q), 4).alias("s"), r6(a("mean", F.col("l_discount"))).alias("m"), a("min", F.col("l_tax")).alias("lo"), a("max", F.col("l_tax")).alias("hi"), r6(a("stddev", q)).alias("sd"), r6(a("variance", q, ddof=1)).alias("v1"),
+        F.round(a("sum", q), 4).alias("s"), r6(a("mean", F.col("l_discount"), exact=True)).alias("m"), a("min", F.col("l_tax")).alias("lo"), a("max", F.col("l_tax")).alias("hi"), r6(a("stddev", q)).alias("sd"), r6(a("variance", q, ddof=1)).alias("v1"),
         a("count_all", q).alias("n"), a("count_distinct", F.col("l_suppkey")).alias("d"), r6(a("corr", q, other=F.col("l_extendedprice"))).alias("c"),
     )
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from strandline.frame import Frame
 from strandline.functions import math as M
 from strandline.operators import aggregate, combine, ewm, select
 from strandline.operators.position import with_position
+from strandline.plans.queries import QUERIES
 from strandline.sources import files, generate
 
 
@@ -106,6 +108,17 @@ def test_mode_and_quantile(spark):
         assert df.agg(aggregate.down("quantile", F.col("A"), q=0.5, interpolation=how)).first()[0] == want
 
 
+def test_exact_mean_does_not_drift(spark):
+    mean = lambda rows: spark.createDataFrame([(x,) for x in rows], "v double").coalesce(1).agg(aggregate.down("mean", F.col("v"), exact=True)).first()[0]
+    assert mean([0.1] * 10) == 0.1 and mean([1e16, 0.25, None, -1e16, 0.75]) == 0.25 and mean([1e300, 2.0]) == 5e299
+    assert mean([None]) is None and mean([float("inf"), 1.0]) == float("inf") and str(mean([float("nan"), 1.0])) == "nan"
+
+
+def test_frame_mean_rounds_its_true_value(spark, sf):
+    path = str(Path(sf).parent / "sf0.01")  # 2995.11 / 60000 there, halfway between two roundings; a sum that drifts falls below
+    assert QUERIES["frame_agg_down"](spark, path).first()["m"] == 0.049919
+
+
 def test_across(spark):
     df = generate.from_columns(spark, {"A": [1.0, 2.0, 3.0, 4.0, 5.0], "B": [10.0, 20.0, 30.0, 40.0, 50.0], "C": [5.0, 30.0, 30.0, 0.0, 25.0]})
     assert column(Frame(df, "index").agg_rows("approximate_median"), "approximate_median") == [5, 20, 30, 4, 25]
