@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, ship, stored
+from ._common import held_out, in_batches, ship, stored
 from .toxicity import known_labels, logistic_1d
 
 _ALPHA = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, max_lines: int
     ids = F.broadcast(stored(chosen[0].unionAll(chosen[1]), "sample"))  # at most 2 x sample rows
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(ids, F.col("doc_id") == F.col("__id"))
     rows = rows.where(F.size(F.split("text", "\n")) <= max_lines)
-    feats = rows.select("text", "y").mapInArrow(_features, "y int, x binary, size binary").limit(3 * sample).collect()
+    feats = in_batches(rows.select("text", "y"), _features, "y int, x binary, size binary").limit(3 * sample).collect()
     seqs = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, WIDTH) for r in feats]
     bad = np.array([1 - r["y"] for r in feats])
     model = QualityModel()
@@ -269,7 +269,7 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataF
             got = [m.badness(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.probability(x[0]) for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64())], names=["doc_id", "score", "n_lines", "n_bad_lines"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_lines long, n_bad_lines long")
+    out = in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, n_lines long, n_bad_lines long")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines", "n_bad_lines")
 
 
@@ -284,4 +284,4 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> D
             good = [m.probability(m.badness(t.as_py())[0]) >= threshold for t in b.column(at)]
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

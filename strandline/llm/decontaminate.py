@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import Folder, discard, few, fresh, scratch, ship, stored
+from ._common import Folder, discard, few, fresh, in_batches, scratch, ship, stored
 
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 SAMPLE = 16
@@ -270,12 +270,12 @@ def _by_text(docs: DataFrame, blocks: Iterator[list], window: int, at: Folder) -
                 cols = [pa.array([got[k][1] for k in hit], pa.list_(pa.string())), pa.array([_listed(got[k][0]) for k in hit], _SPANS)]
                 yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(hit, pa.int64())), *cols], names=["key", "names", "spans"])
 
-        found = docs.select("text", F.md5("text").alias("key")).mapInArrow(run, "key string, names array<string>, spans array<struct<first:long,end:long>>")
+        found = in_batches(docs.select("text", F.md5("text").alias("key")), run, "key string, names array<string>, spans array<struct<first:long,end:long>>")
         parts.append(at.stored(found.dropDuplicates(["key"])))
         held.destroy()
     every = reduce(DataFrame.unionAll, parts)
     rows = every.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return at.stored(rows.mapInArrow(_united, rows.schema))  # a text has a row for each block at most
+    return at.stored(in_batches(rows, _united, rows.schema))  # a text has a row for each block at most
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +307,7 @@ def _reports(docs: DataFrame, find_all: Callable) -> DataFrame:
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,end:long>>")
+    return in_batches(docs, run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,end:long>>")
 
 
 def _array(spans: list[dict] | None) -> np.ndarray:
@@ -426,4 +426,4 @@ def _cut(docs: DataFrame, search: Callable, extra: int = 0) -> DataFrame:
             out = pa.RecordBatch.from_arrays(cols, schema=part.schema)
             yield out.filter(pa.array([k not in gone for k in range(out.num_rows)], pa.bool_())) if gone else out
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Folder, few, fresh, ship, stored
+from ._common import Folder, few, fresh, in_batches, ship, stored
 from ._graph import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -111,7 +111,7 @@ def with_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array([len(s) for s in got], pa.int32()), fps], names=["doc_id", "th", "id", "size", "fp"])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", text_hash().alias("th"), "text").mapInArrow(run, f"doc_id {kind}, th long, id long, size int, fp binary")
+    return in_batches(docs.select("doc_id", text_hash().alias("th"), "text"), run, f"doc_id {kind}, th long, id long, size int, fp binary")
 
 
 def text_hash():
@@ -133,7 +133,7 @@ def _keyed(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, *cols], names=["key", "id", *(["fp", *more] if more else [])])
 
     kinds = [f"{c} {sets.schema[c].dataType.simpleString()}" for c in (["fp", *more] if more else [])]
-    return sets.mapInArrow(run, ", ".join(["key long, id long", *kinds]))
+    return in_batches(sets, run, ", ".join(["key long, id long", *kinds]))
 
 
 class _Meeting:
@@ -212,7 +212,15 @@ def _met(sets: DataFrame) -> DataFrame:
         yield meet.taken()
 
     keyed = _keyed(sets.select("id", "fp")).repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "id")
-    return keyed.mapInArrow(run, "a long, b long")
+    return in_batches(keyed, run, "a long, b long")
+
+
+def _differing(fps: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The differing bits of pairs of rows, a few thousand pairs at once: fingerprints of all would be a hundred times the pairs."""
+    out = [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(p), 4096):
+        out.append(np.bitwise_count(fps[p[at : at + 4096]] ^ fps[q[at : at + 4096]]).sum(axis=1, dtype=np.int64))
+    return np.concatenate(out)
 
 
 class _Family:
@@ -240,7 +248,7 @@ class _Family:
             small, large = np.minimum(size[p], size[q]), np.maximum(size[p], size[q])
             fits = small >= self.similarity * large - 1e-9
             p, q, small = p[fits], q[fits], small[fits]
-            bits = np.bitwise_count(fps[p] ^ fps[q]).sum(axis=1, dtype=np.int64)
+            bits = _differing(fps, p, q)
             keep = (bits <= self.far) | (small < EXACT_BELOW)
             if not self.nearest:
                 keep &= (ids[p] > ids[q]) | (of[q] == most)
@@ -251,15 +259,15 @@ class _Family:
                 order = np.lexsort((bits, p))
                 order = order[np.unique(p[order], return_index=True)[1]]
             else:
-                order = np.flatnonzero(self._first(fps[p], fps[q]) == key[0] >> 33)
+                order = np.flatnonzero(self._first(fps, p, q) == key[0] >> 33)
             yield pa.RecordBatch.from_arrays([pa.array(ids[p[order]]), pa.array(ids[q[order]]), pa.array(bits[order])], names=["x", "y", "bits"])
 
     @staticmethod
-    def _first(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def _first(fps: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The first segment in which two sets meet: there, and only there, their pair is put out."""
         out = [np.zeros(0, dtype=np.int64)]
-        for at in range(0, len(x), 4096):
-            square = np.unpackbits((x[at : at + 4096] ^ y[at : at + 4096]).view(np.uint8), axis=1).reshape(-1, SIDE, SIDE)
+        for at in range(0, len(p), 4096):
+            square = np.unpackbits((fps[p[at : at + 4096]] ^ fps[q[at : at + 4096]]).view(np.uint8), axis=1).reshape(-1, SIDE, SIDE)
             diagonal = square.transpose(0, 2, 1).reshape(-1, BITS)[:, _DIAGONALS]
             out.append((np.concatenate([square.sum(axis=2), square.sum(axis=1), diagonal.sum(axis=2)], axis=1) <= 1).argmax(axis=1))
         return np.concatenate(out)
@@ -290,7 +298,7 @@ def _across(sets: DataFrame, similarity: float, nearest: bool) -> DataFrame:
             yield from done(len(held[0]))
 
     keyed = _keyed(sets.select("id", "fp", "root", "size")).repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "id")
-    return keyed.select("key", "id", "root", "size", "fp").mapInArrow(run, "x long, y long, bits long")
+    return in_batches(keyed.select("key", "id", "root", "size", "fp"), run, "x long, y long, bits long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -310,7 +318,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     x = sets.select(F.col("id").alias("a"), F.col("fp").alias("x"), F.col("size").alias("n"))
     y = sets.select(F.col("id").alias("b"), F.col("fp").alias("y"), F.col("size").alias("m"))
     both = pairs.join(x, "a").join(y, "b").where(f"least(n, m) >= {similarity} * greatest(n, m) - 1e-9")
-    return both.select("a", "b", "x", "y", F.expr(f"least(n, m) >= {EXACT_BELOW}").alias("large")).mapInArrow(run, "a long, b long, bits long, sure boolean")
+    return in_batches(both.select("a", "b", "x", "y", F.expr(f"least(n, m) >= {EXACT_BELOW}").alias("large")), run, "a long, b long, bits long, sure boolean")
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: float, at: Folder) -> DataFrame:
@@ -327,7 +335,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, s
     rows = docs.select("doc_id", "text", text_hash().alias("__t")).join(one, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__h")))
     texts = at.stored(rows.groupBy("id").agg(F.any_value("text").alias("text")))
     x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return in_batches(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def _classes(edges: DataFrame, at: Folder) -> DataFrame:

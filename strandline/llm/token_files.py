@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import scratch, ship, vocabulary_path
+from ._common import in_batches, scratch, ship, vocabulary_path
 
 MAGIC = b"WMX1"
 MAX_WORDS = 1_200_000
@@ -326,7 +326,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
             yield flush()
 
     ship(docs.sparkSession)
-    rows.mapInArrow(run, FILES).write.mode("overwrite").parquet(path)
+    in_batches(rows, run, FILES).write.mode("overwrite").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -358,7 +358,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(known.value[part] + before + starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = files.join(places, ["part", "shard"]).select("part", "before", "file")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_batches(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", shard_tokens: int = 1 << 18, path: str | None = None) -> DataFrame:
