@@ -13,9 +13,11 @@ similarity 0.8 shares no variant with a probability of about 4 %, of 0.85 of 0.1
 joined to any of its class, and the README has the share that brute force finds missed.
 
 Work is on distinct shingle sets, so copies never multiply. A variant with more than two sets is first met by one set for
-each of its two segment values, and each value's sets by that one, which joins a large group in linear work. Then the sets
-of such variants meet again with their classes and fingerprints: first each with its nearest set of another class, then
-with all of other classes that fingerprints allow, so no pair that meets is lost.
+each of its two segment values, and each value's sets by that one; of what a set so meets only the one that it meets in
+most segments is verified, which joins a large group in linear work. Then the sets of such variants meet again with their
+classes and fingerprints: first each with its nearest set of another class, then with all of other classes that
+fingerprints and maps allow, so no pair that meets is lost. A map has a bit for each residue of a set's shingles; bits of
+one map that the other lacks are shingles that the other set lacks, so the similarity has a bound that is never too low.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ BITS = SIDE * SIDE
 SEGMENTS = 3 * SIDE
 BLOCK = 1 << 18  # pairs that are compared at once
 EXACT_BELOW = 64  # shingles; the bits of smaller sets are no normal approximation
+MAP = 2048  # bits; a bound for sets of up to some 800 shingles, beyond which most bits are set
 HELD = 1 << 19  # rows of one half's group beyond which long runs are no longer held
 _DRAWN = np.random.default_rng(20240501).integers(0, 1 << 64, (2, BITS // 64), dtype=np.uint64) | np.uint64(1)
 _DIAGONALS = np.add.outer(np.arange(SIDE), np.arange(SIDE)) % SIDE * SIDE + np.arange(SIDE)  # into the columns: row i of diagonal k has bit (k + i) % 32
@@ -76,6 +79,20 @@ def fingerprint(s: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > len(s))
 
 
+def residues(s: np.ndarray) -> np.ndarray:
+    """The map of a shingle set, as bytes: a bit for each residue that occurs."""
+    out = np.zeros(MAP, dtype=bool)
+    out[(s % np.uint64(MAP)).astype(np.int64)] = True
+    return np.packbits(out)
+
+
+def possible(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether sets of sizes n and m with maps x and y (rows of integers) can be that similar; true for all that are."""
+    lacking = lambda p, q: np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64)
+    both = np.minimum(n - lacking(x, y), m - lacking(y, x))
+    return both >= similarity * (n + m - both) - 1e-9
+
+
 def segments(fp: np.ndarray) -> np.ndarray:
     """The rows, columns and diagonals of a fingerprint's square, as integers of 32 bits."""
     square = np.unpackbits(fp).reshape(SIDE, SIDE)
@@ -96,7 +113,7 @@ def distances(similarity: float, sure: float = 5.0, allowed: float = 3.5) -> tup
 
 
 def with_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, th, id, size, fp) of each row: the text's hash, its shingle set's digest, size and fingerprint; a set of size 0 has id 0."""
+    """(doc_id, th, id, size, fp, map) of each row: the text's hash, its shingle set's digest, size, fingerprint and map; a set of size 0 has id 0."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +125,11 @@ def with_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 got = [shingles(x.as_py(), shingle) for x in b.column(2)]
                 ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), 7) if len(s) else 0 for s in got], dtype=np.uint64).view(np.int64)
                 fps = pa.array([fingerprint(s).tobytes() if len(s) else None for s in got], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array([len(s) for s in got], pa.int32()), fps], names=["doc_id", "th", "id", "size", "fp"])
+                maps = pa.array([residues(s).tobytes() if len(s) else None for s in got], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids), pa.array([len(s) for s in got], pa.int32()), fps, maps], names=["doc_id", "th", "id", "size", "fp", "map"])
 
     ship(docs.sparkSession)
-    return in_batches(docs.select("doc_id", text_hash().alias("th"), "text"), run, f"doc_id {kind}, th long, id long, size int, fp binary")
+    return in_batches(docs.select("doc_id", text_hash().alias("th"), "text"), run, f"doc_id {kind}, th long, id long, size int, fp binary, map binary")
 
 
 def text_hash():
@@ -162,7 +180,7 @@ class _Meeting:
         """All variants of whole groups."""
         runs, start, count = np.unique(key, return_index=True, return_counts=True)
         upper = runs >> 32 & 1 == 0  # equal segments meet in either half; once is enough
-        place, of = _spread(start, np.where(upper & (count > 1), count, 0))
+        place, of = _spread(start + 1, np.where(upper, count - 1, 0))
         self.pairs(ids[place], ids[start[of]])
         marked = upper & (count > 2)
         for j in range(16):
@@ -173,15 +191,15 @@ class _Meeting:
             self.pairs(ids[start[x]], ids[start[y]])
             many = count[x] + count[y] > 2
             marked[x[many]] = marked[y[many]] = True
-        place, _ = _spread(start, np.where(marked, count, 0))
+        place, _ = _spread(start, np.where(marked & (upper | (count <= 2)), count, 0))  # longer runs of lower halves are marked in their upper one
         self.pairs(ids[place], ids[place])
         self.first.clear()
 
     def taken(self) -> pa.RecordBatch:
         a, b = (np.concatenate([x[k] for x in self.out] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
         self.out = []
-        rows = np.unique(np.stack([a, b], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows.T], names=["a", "b"])
+        rows, met = np.unique(np.stack([a, b], axis=1), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in rows.T), pa.array(met)], names=["a", "b", "met"])
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +209,7 @@ def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _met(sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of sets that meet in a variant, and the members of variants with more than two as (a, a)."""
+    """(a, b, met, again): pairs of sets that meet in a variant, in how many, and if both are members of variants with more than two; members of no such pair as (a, a)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meet = _Meeting()
@@ -206,13 +224,37 @@ def _met(sets: DataFrame) -> DataFrame:
                 key, ids = key[cut:], ids[cut:]
             if len(key) >= HELD:
                 key, ids = meet.shorten(key, ids)
-            yield meet.taken()
+            yield _compact(meet.taken())
         if len(key):
             meet.groups(key, ids)
-        yield meet.taken()
+        yield _compact(meet.taken())
 
     keyed = _keyed(sets.select("id", "fp")).repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "id")
-    return in_batches(keyed, run, "a long, b long")
+    return in_batches(keyed, run, "a long, b long, met long, again boolean")
+
+
+def _compact(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows of a meeting with a mark on pairs of members, of which each a keeps one with most variants, and members of no such pair as (a, a)."""
+    a, b, met = (rows.column(k).to_numpy() for k in range(3))
+    own = a == b
+    again = np.flatnonzero(~own & np.isin(a, a[own]) & np.isin(b, a[own]))
+    best = again[np.lexsort((b[again], -met[again], a[again]))]
+    best = best[np.unique(a[best], return_index=True)[1]]
+    keep = np.where(own, ~np.isin(a, np.concatenate([a[best], b[best]])), True)
+    keep[again] = False
+    keep[best] = True
+    marks = own.copy()
+    marks[best] = True
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(marks)], names=[*rows.schema.names, "again"]).filter(pa.array(keep))
+
+
+def _to_verify(met: DataFrame, family: DataFrame) -> DataFrame:
+    """(a, b): of the pairs met those with an end that does not meet again, as it is not in the family, and of the others each a's with most variants in common."""
+    x, y = (family.select(F.col("id").alias(c), F.lit(True).alias(f"again_{c}")) for c in "ab")
+    pairs = met.where("a <> b").groupBy("a", "b").agg(F.sum("met").alias("met")).join(x, "a", "left").join(y, "b", "left")
+    again = F.col("again_a").isNotNull() & F.col("again_b").isNotNull()
+    most = pairs.where(again).groupBy("a").agg(F.max(F.struct("met", F.bitwise_not("b").alias("c"))).alias("w"))
+    return pairs.where(~again).select("a", "b").unionAll(most.select("a", F.bitwise_not("w.c").alias("b")))
 
 
 def _differing(fps: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -224,12 +266,12 @@ def _differing(fps: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class _Family:
-    """Pairs (x, y, bits) of different classes that meet in a half key's group and whose sizes and fingerprints allow the similarity."""
+    """Pairs (x, y, bits) of different classes that meet in a half key's group and whose sizes, fingerprints and maps, if given, allow the similarity."""
 
     def __init__(self, similarity: float, nearest: bool):
         self.similarity, self.nearest, self.far = similarity, nearest, distances(similarity)[1]
 
-    def group(self, key: np.ndarray, ids: np.ndarray, root: np.ndarray, size: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def group(self, key: np.ndarray, ids: np.ndarray, root: np.ndarray, size: np.ndarray, fps: np.ndarray, maps: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         names, of, count = np.unique(root, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
@@ -253,6 +295,9 @@ class _Family:
             if not self.nearest:
                 keep &= (ids[p] > ids[q]) | (of[q] == most)
             p, q, bits = p[keep], q[keep], bits[keep]
+            if maps is not None:
+                keep = self._possible(size, maps, p, q)
+                p, q, bits = p[keep], q[keep], bits[keep]
             if not len(p):
                 continue
             if self.nearest:
@@ -262,6 +307,13 @@ class _Family:
                 order = np.flatnonzero(self._first(fps, p, q) == key[0] >> 33)
             yield pa.RecordBatch.from_arrays([pa.array(ids[p[order]]), pa.array(ids[q[order]]), pa.array(bits[order])], names=["x", "y", "bits"])
 
+    def _possible(self, size: np.ndarray, maps: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        out = [np.zeros(0, dtype=bool)]
+        for at in range(0, len(p), 4096):
+            i, j = p[at : at + 4096], q[at : at + 4096]
+            out.append(possible(size[i], size[j], maps[i], maps[j], self.similarity))
+        return np.concatenate(out)
+
     @staticmethod
     def _first(fps: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """The first segment in which two sets meet: there, and only there, their pair is put out."""
@@ -274,7 +326,7 @@ class _Family:
 
 
 def _across(sets: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """(x, y, bits) of sets (id, fp, root, size) of different classes that meet; only each one's nearest in a group, if so asked."""
+    """(x, y, bits) of sets (id, fp, root, size, map) of different classes that meet; only each one's nearest in a group, if so asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = _Family(similarity, nearest)
@@ -289,7 +341,7 @@ def _across(sets: DataFrame, similarity: float, nearest: bool) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b.column(k).to_numpy() for k in range(4)] + [np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)]
+            new = [b.column(k).to_numpy() for k in range(4)] + [np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1) for k in range(4, b.num_columns)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             cut = int(np.searchsorted(held[0], held[0][-1] >> 16 << 16))
             yield from done(cut)
@@ -297,8 +349,9 @@ def _across(sets: DataFrame, similarity: float, nearest: bool) -> DataFrame:
         if held:
             yield from done(len(held[0]))
 
-    keyed = _keyed(sets.select("id", "fp", "root", "size")).repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "id")
-    return in_batches(keyed.select("key", "id", "root", "size", "fp"), run, "x long, y long, bits long")
+    more = [] if nearest else ["map"]  # each one's nearest are few without it
+    keyed = _keyed(sets.select("id", "fp", "root", "size", *more)).repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "id")
+    return in_batches(keyed.select("key", "id", "root", "size", "fp", *more), run, "x long, y long, bits long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -342,18 +395,28 @@ def _classes(edges: DataFrame, at: Folder) -> DataFrame:
     return at.stored(connected_components(edges).withColumnRenamed("node", "id"))
 
 
+def _merged(roots: DataFrame, links: DataFrame, at: Folder) -> DataFrame:
+    """(id, root) after more links (a, b): only classes are linked anew, by their roots, and their sets follow."""
+    p, q = (roots.select(F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    placed = links.join(p, "a", "left").join(q, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    tops = _classes(at.stored(placed.where("a <> b").distinct()), at)
+    moved = roots.join(tops.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left")
+    return at.stored(moved.select("id", F.coalesce("top", "root").alias("root")).unionAll(tops.join(roots, "id", "left_anti")))
+
+
 def classes(sets: DataFrame, docs: DataFrame, at: Folder, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) of all sets that are linked to another; sets: id, size, fp and, as w, the doc_id and th of one text of each, stored."""
+    """(id, root) of all sets that are linked to another; sets: id, size, fp, map and, as w, the doc_id and th of one text of each, stored."""
     near = distances(similarity)[0]
     met = at.stored(_met(sets.where("size > 0")))
-    links = at.stored(_verified(met.where("a <> b").distinct(), sets, similarity))
+    a, b = (met.where("again").select(F.col(x).alias("id")).distinct() for x in "ab")
+    family = at.stored(a.unionAll(b).distinct())
+    links = at.stored(_verified(at.stored(_to_verify(met, few(family))), sets, similarity))
     unsure = links.where("not sure")
     nearest = at.stored(unsure.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("w")).select("a", "w.b"))
     edges = at.stored(links.where("sure").select("a", "b").unionAll(_checked(nearest, docs, sets, shingle, similarity, at)))
     roots = _classes(edges, at)
-    family = at.stored(met.where("a = b").select(F.col("a").alias("id")).distinct())
     for last in (False, True):
-        placed = sets.join(family, "id", "left_semi").join(roots, "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root"), "size")
+        placed = sets.join(family, "id", "left_semi").join(roots, "id", "left").select("id", "fp", F.coalesce("root", "id").alias("root"), "size", "map")
         found = at.stored(_across(at.stored(placed), similarity, nearest=not last))
         if not last:
             found = found.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("w")).select("x", "w.y", "w.bits")
@@ -364,7 +427,7 @@ def classes(sets: DataFrame, docs: DataFrame, at: Folder, shingle: int = SHINGLE
         sized = found.distinct().join(n, "a").join(m, "b")
         found = at.stored(sized.select("a", "b", F.expr(f"bits <= {near} and least(na, nb) >= {EXACT_BELOW}").alias("sure")))
         new = found.where("sure").select("a", "b").unionAll(_checked(found.where("not sure"), docs, sets, shingle, similarity, at))
-        roots = _classes(at.stored(new).unionAll(roots.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))), at)
+        roots = _merged(roots, at.stored(new), at)
     return roots
 
 
@@ -386,7 +449,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     at = Folder(spark, "near-copies")
     marked = at.stored(with_sets(docs, shingle))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    sets = at.stored(marked.groupBy("id").agg(F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.min(order).alias("w")))
+    sets = at.stored(marked.groupBy("id").agg(F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("map").alias("map"), F.min(order).alias("w")))
     roots = classes(sets, docs, at, shingle, similarity)
     placed = sets.select("id", "w").join(roots, "id", "left").select(F.coalesce("root", "id").alias("root"), "w")
     best = placed.groupBy("root").agg(F.min("w").alias("w"))
