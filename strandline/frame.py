@@ -191,7 +191,7 @@ class Frame:
     def bfill(self) -> Frame:
         if not self.keys:
             return self._filled([F.desc(c) for c in self.order])
-        return self._windowed({c: lambda w, c=c: windows.bfill(F.col(c), w) for c in self.values})
+        return self._new(self.df.withColumns({c: windows.bfill(F.col(c), self.keys, self.order) for c in self.values}))
 
     def _windowed(self, cols: dict[str, Callable[[WindowSpec], Column]]) -> Frame:
         """Unbounded frames: by key; over a frame without keys they need all rows in one task, so keys are asked for."""

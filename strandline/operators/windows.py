@@ -143,8 +143,9 @@ def ffill(c: Column, w: WindowSpec) -> Column:
     return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def bfill(c: Column, w: WindowSpec) -> Column:
-    return F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def bfill(c: Column, keys: list[str], order: list[str]) -> Column:
+    """The fill in reverse order: Spark reads a frame to the end anew for each row, which takes the square of a key's rows."""
+    return ffill(c, Window.partitionBy(*keys).orderBy(*[F.desc(x) for x in order]))
 
 
 RANKINGS = {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank, "percent_rank": F.percent_rank, "cume_dist": F.cume_dist}
