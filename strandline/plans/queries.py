@@ -594,7 +594,9 @@ def math_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("math_division", "select event_id, case when event_id % 5 = 0 then case when value > 0 then 'inf'::double when value < 0 then '-inf'::double else 'nan'::double end else round(value / (event_id % 5), 6) end as f, (event_id - 500) // 7 as i from events")
 def math_division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", r6(M.divide(F.col("value"), F.col("event_id") % 5)).alias("f"), M.divide_int(F.col("event_id") - 500, F.lit(7)).alias("i"))
+    v, by = F.col("value"), F.col("event_id") % 5
+    x = F.when((by == 0) & v.isNull(), 0.0).when((by == 0) & F.isnan(v), M.INF).otherwise(v)  # over zero, SQL takes a null for 0 and NaN for the largest number
+    return table(spark, sf_dir, "events").select("event_id", r6(M.divide(x, by)).alias("f"), M.divide_int(F.col("event_id") - 500, F.lit(7)).alias("i"))
 
 
 @register("bitwise", "select event_id, event_id & 12 as a, event_id | 3 as o, xor(event_id, 5) as x, ~event_id as n, event_id << 3 as l, event_id >> 2 as r from events")
