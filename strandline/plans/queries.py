@@ -573,7 +573,7 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("math_exp_log", "select event_id, round(exp(value / 100), 6) as e, case when value > 0 then round(ln(value), 6) when value = 0 then '-inf'::double else 'nan'::double end as ln, round(sqrt(abs(value)), 6) as sq, round(log10(abs(value) + 1), 6) as l10, round(log2(abs(value) + 1), 6) as l2, round(pow(value / 100, 3), 6) as p from events")
 def math_exp_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
-    return table(spark, sf_dir, "events").select("event_id", r6(F.exp(v / 100)).alias("e"), r6(M.ln(v)).alias("ln"), r6(F.sqrt(F.abs(v))).alias("sq"), r6(M.log10(F.abs(v) + 1)).alias("l10"), r6(M.log2(F.abs(v) + 1)).alias("l2"), r6(M.power(v / 100, 3.0)).alias("p"))
+    return table(spark, sf_dir, "events").select("event_id", r6(F.exp(v / 100)).alias("e"), F.coalesce(r6(M.ln(v)), F.lit(M.NAN)).alias("ln"), r6(F.sqrt(F.abs(v))).alias("sq"), r6(M.log10(F.abs(v) + 1)).alias("l10"), r6(M.log2(F.abs(v) + 1)).alias("l2"), r6(M.power(v / 100, 3.0)).alias("p"))
 
 
 _TRIG = ("sin", "cos", "tan", "atan", "sinh", "cosh", "tanh", "asinh")

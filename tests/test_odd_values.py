@@ -28,3 +28,10 @@ def test_math_division(spark, odd, con):
     columns, got = oracle.from_spark(QUERIES["math_division"](spark, odd))
     assert (columns, got) == oracle.from_sql(con, ORACLE_SQL["math_division"])
     assert len(got) == 90 and sum(r[1] == "nan" for r in got) == 2 + 8 + 2 * 2  # event_id, f, i: nulls over zero, NaN over others, zeros over zero
+
+
+def test_math_exp_log(spark, odd, con):
+    columns, got = oracle.from_spark(QUERIES["math_exp_log"](spark, odd))
+    assert (columns, got) == oracle.from_sql(con, ORACLE_SQL["math_exp_log"])
+    ln = [r[columns.index("ln")] for r in got]
+    assert len(got) == 90 and ln.count("nan") == 10 + 10 + 20 and ln.count(-math.inf) == 20  # nulls, NaN, negative values; zeros
