@@ -6,10 +6,12 @@ frames of one lineage are plain selections; others align by a full outer join on
 
 from __future__ import annotations
 
+import functools
 import operator
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from .operators.position import filled, over_blocks, running, with_position
 from .plans.sql import query
 from .storage import ship
 
+PLAIN = dict.fromkeys(("byte", "short", "integer", "long"), "int64") | {"float": "float64", "double": "float64", "boolean": "bool"}
+
 
 class Frame:
     """df: the rows. index: label columns. order: columns of a total order (the index by default). keys: partition columns."""
@@ -336,22 +340,39 @@ class Frame:
         """
         spec = windows.Rolling(size, min_periods, center, closed)
         first, last = spec.bounds()
-        gather = lambda w: {"__rows": F.collect_list(F.struct(*columns)).over(spec.frame(w))}
+        gap = functools.reduce(operator.or_, [F.col(c).isNull() for c in columns])
+        gather = lambda w: {"__rows": F.collect_list(F.struct(*columns)).over(spec.frame(w)), "__gaps": F.count(F.when(gap, 1)).over(spec.frame(w))}
         if self.keys:
             rows = self.df.withColumns(gather(self._window()))
         else:
-            rows = over_blocks(with_position(self.df, self.order, "__pos"), "__pos", max(0, -first), max(0, last), gather).drop("__pos")
+            rows = over_blocks(with_position(self.df, self.order, "__pos"), "__pos", max(0, -first), max(0, last), gather, called=True).drop("__pos")
         ship(self.df.sparkSession)
-        least = max(spec.least, 1)
+        enough = F.size("__rows") >= max(spec.least, 1)
+        kinds = [PLAIN.get(x.dataType.typeName()) for x in self.df.select(*columns).schema]
+        whole = enough & (F.lit(None in kinds) | (F.col("__gaps") > 0))
+        fields = StructType.fromDDL(schema).names
 
         @F.pandas_udf(schema)
-        def run(s: pd.Series) -> pd.DataFrame:
-            made = [f(pd.DataFrame(list(v), columns=columns)) if len(v) >= least else {} for v in s]
+        def run(lists: pd.Series, *parts: pd.Series) -> pd.DataFrame:
+            """lists: windows as dicts, where a type or a null needs them; parts: elsewhere, each column's values, which are joined and cut."""
+            held = parts[0].tolist() if parts else [None] * len(lists)
+            there = [v is not None for v in held]
+            cells = [np.concatenate(p[there].tolist()).astype(k) for p, k in zip(parts, kinds, strict=False)] if any(there) else []
+            table = np.column_stack(cells) if cells and len(set(kinds)) == 1 else None
+            names, made, at = pd.Index(columns), [], 0
+            for v, cell in zip(lists, held, strict=True):
+                if cell is None:
+                    made.append({} if v is None else f(pd.DataFrame(list(v), columns=columns)))
+                    continue
+                end = at + len(cell)
+                cut = table[at:end] if table is not None else {c: x[at:end] for c, x in zip(columns, cells, strict=True)}
+                made.append(f(pd.DataFrame(cut, pd.RangeIndex(end - at), names.view())))  # labels of its own, which f may name
+                at = end
             return pd.DataFrame(made, columns=fields)
 
-        fields = StructType.fromDDL(schema).names
-        out = rows.withColumn(name, run("__rows")).withColumn(name, F.when(F.size("__rows") >= least, F.col(name)))
-        return self._new(out.drop("__rows"))
+        parts = [] if None in kinds else [F.when(enough & ~whole, F.col("__rows")[c]) for c in columns]
+        out = rows.withColumn(name, run(F.when(whole, F.col("__rows")), *parts)).withColumn(name, F.when(enough, F.col(name)))
+        return self._new(out.drop("__rows", "__gaps"))
 
     def expanding_apply(self, f: Callable[[list], float], column: str, name: str = "applied", min_periods: int = 1) -> Frame:
         """As rolling_apply, over all rows so far of a key; for keys of up to some thousand rows."""

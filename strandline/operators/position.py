@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 BLOCK = 100_000
+CALLED = 10_000
 
 
 def with_position(df: DataFrame, order: list[str | Column], name: str = "pos") -> DataFrame:
@@ -30,16 +31,20 @@ def with_position(df: DataFrame, order: list[str | Column], name: str = "pos") -
     return out.withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__part", "__before")
 
 
-def over_blocks(df: DataFrame, pos: str, before: int, after: int, make: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK) -> DataFrame:
+def over_blocks(df: DataFrame, pos: str, before: int, after: int, make: Callable[[WindowSpec], dict[str, Column]], block: int = BLOCK, called: bool = False) -> DataFrame:
     """Columns from frames that reach at most `before` rows back and `after` rows ahead in a gapless position.
 
-    make gets the window (partitioned and ordered, without a frame) and returns the new columns by name.
+    make gets the window (partitioned and ordered, without a frame) and returns the new columns by name. With `called`,
+    a Python function follows: small blocks over all shuffle partitions, as time goes by rows there and not by bytes.
     """
+    block = CALLED if called else block
     block = max(block, before, after, 1)
     own = F.floor(F.col(pos) / block)
     at = F.pmod(F.col(pos), F.lit(block))
     copies = F.array_compact(F.array(own, F.when(at >= block - before, own + 1) if before else F.lit(None).cast("long"), F.when(at < after, own - 1) if after else F.lit(None).cast("long")))
     spread = df.withColumn("__own", own).withColumn("__block", F.explode(copies))
+    if called:  # a count of one's own is not merged by size
+        spread = spread.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__block")
     cols = make(Window.partitionBy("__block").orderBy(pos))
     return spread.withColumns(cols).where("__own = __block").drop("__own", "__block")
 

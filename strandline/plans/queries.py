@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -911,7 +912,11 @@ def apply_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("rolling_apply_frame", "select event_id, max(value) over w - min(value) over w as span, count(*) over w as n from events window w as (order by event_id rows between 3 preceding and current row)")
 def rolling_apply_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Frame(table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
-    make = lambda p: {"span": p["value"].max() - p["value"].min(), "n": len(p)}
+
+    def make(p):
+        v = p["value"].to_numpy("float64")
+        return {"span": np.fmax.reduce(v) - np.fmin.reduce(v), "n": len(v)}
+
     return f.rolling_apply_frame(make, ["value"], 4, "span double, n bigint", min_periods=1).df.select("event_id", "applied.span", "applied.n")
 
 
